@@ -27,7 +27,7 @@ RULES: dict[str, str] = {
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
 }
 BASE = ("few_words", "repeated_windows")
 #: Versioned policies. Never change one; add a version.

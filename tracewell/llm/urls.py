@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed labelled table (1: block). Host and path are put together from these parts, see training_table().
-BAD_PARTS = ("adult-x", "adult", "xxx", "porn-tube", "casino", "casino-win", "bet-now", "poker-online", "cheap-pills", "pills-rx", "viagra-shop", "free-money", "loan-fast", "win-prize", "hot-dates", "sexcam", "crack-serial", "warez", "replica-watch", "spam-links", "click-bait")
+BAD_PARTS = ("adult-x", "adult", "xxx", "porn-tube", "casino", "casino-win", "bet-now", "poker-online", "cheap-pills", "pills-rx", "viagra-shop", "free-money", "loan-fast", "win-prize", "hot-dates", "sexcam", "crack-serial", "warez", "replica-watch", "spam-links", "click-bait", "adserver", "ads-tracker", "free-spins", "betting-odds")
 GOOD_PARTS = ("news", "wiki", "library", "science", "docs", "blog", "museum", "school", "university", "recipes", "garden", "travel", "history", "weather", "forum", "shop", "music", "sports", "health", "books", "maps", "tionther", "ththre", "ererthan", "ingonst", "thwhand")
 SITES = ("example.com", "example.net", "example.org")
 SUBDOMAINS = ("", "www.", "m.", "blog.")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and \x09-\x0D.
@@ -66,3 +66,21 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def in_id_order(docs: DataFrame, bytes_per_part: int = 64 << 20) -> DataFrame:
+    """(doc_id, __text) range-partitioned and sorted by doc_id, then by text; nulls first. Null texts become empty ones.
+
+    The number of parts follows the size of the input that Spark estimates, the session's shuffle partitions at least.
+    """
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 60) // bytes_per_part)
+    source = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    return source.repartitionByRange(parts, "doc_id", F.xxhash64("__text")).sortWithinPartitions("doc_id", F.xxhash64("__text"))
+
+
+def running_base(parts: DataFrame, key: str, count: str) -> DataFrame:
+    """parts (one row per task) with `base`: the sum of `count` over the parts before it."""
+    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("base", F.coalesce(F.sum(count).over(before), F.lit(0)).cast("long"))

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm.arrowfiles import token_files
 from tracewell.llm.bpe import bpe_encode
 from tracewell.llm.common import table
+from tracewell.llm.packing import pack
 from tracewell.llm.rules import quality_rules
 from tracewell.llm.sharding import kd_shards
 from tracewell.llm.urls import url_filter
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_bits")
 
@@ -21,6 +27,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -30,7 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op7_bpe, op9_url_filter, op10_sharding)}
+    return {f.__name__: f for f in (op4_token_files, op6_quality_rules, op7_bpe, op8_packing, op9_url_filter, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -84,3 +84,21 @@ def running_base(parts: DataFrame, key: str, count: str) -> DataFrame:
     """parts (one row per task) with `base`: the sum of `count` over the parts before it."""
     before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("base", F.coalesce(F.sum(count).over(before), F.lit(0)).cast("long"))
+
+
+def hashed_below(column: str, share: float, seed: int):
+    """True for about this share of the column's values, the same ones each time."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40))
+
+
+def bounded_rows(rows: DataFrame, max_rows: int, max_bytes: int, key: str = "doc_id", text: str = "text", seed: int = 1) -> list:
+    """Rows to train on, at the driver: those first in the order of a hash of their key, within max_rows and max_bytes of text."""
+    staged = stage(rows.withColumn("__order", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__bytes", F.coalesce(F.octet_length(text), F.lit(0))).orderBy("__order", key).limit(max_rows), "sample")
+    sizes = sorted((r["__order"], r["__bytes"]) for r in staged.select("__order", "__bytes").collect())
+    used, last = 0, None
+    for order, size in sizes:
+        used += size
+        if used > max_bytes:
+            break
+        last = order
+    return [] if last is None else staged.where(F.col("__order") <= last).orderBy("__order", key, text).collect()

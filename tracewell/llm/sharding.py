@@ -31,9 +31,9 @@ def kd_leaves(units: DataFrame, names: list[str], target: float, levels: int = 2
     bin edge nearest to half the node's weight; where all the weight is in one bin, the bin's bounds are the next
     level's bounds, so that the search closes in on the median level by level. A node of one point is a leaf.
     """
+    units = cells = stage(units.withColumn("node", F.lit(1).cast("long")), "kd")
     spans = _dimensions(units, names)
     done: list[tuple[int, float]] = []
-    cells = units.withColumn("node", F.lit(1).cast("long"))
     total = units.agg(F.sum("weight")).first()[0]
     if total is None:
         return cells.withColumnRenamed("node", "leaf"), []

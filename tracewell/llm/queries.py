@@ -11,6 +11,7 @@ from tracewell.llm import bytecnn, langid
 from tracewell.llm.arrowfiles import token_files
 from tracewell.llm.bpe import bpe_encode
 from tracewell.llm.common import crc_mod, table
+from tracewell.llm.impact import top_k
 from tracewell.llm.jaccard import jaccard_components
 from tracewell.llm.packing import pack
 from tracewell.llm.rules import quality_rules
@@ -29,6 +30,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 4, 85)
 
@@ -64,7 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_ngram_jaccard_join, op4_token_files, op5_language_id, op6_quality_rules, op7_bpe, op8_packing, op9_url_filter, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_topk_search, op3_ngram_jaccard_join, op4_token_files, op5_language_id, op6_quality_rules, op7_bpe, op8_packing, op9_url_filter, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,8 +77,8 @@ def measure(text: str | None) -> tuple[int, ...]:
     return len(words), len(text) - spaces, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), count_repeats(words), len(lines)
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text column, plus measurements and failure bits (`rule_bits`).
+def ledger(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs without the text column (unless keep_text), plus measurements and failure bits (`rule_bits`).
 
     Defined results: a null or empty text has zero for all measures and fails `few_words`; a null id is carried on;
     repeated rows get a row each; other columns are carried on unless they bear a name that the ledger itself
@@ -90,11 +90,14 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "__text"):
             rows = np.array([measure(x) for x in batch.column("__text").to_pylist()], dtype=np.int64).reshape(-1, len(MEASURES))
-            columns = [batch.column(c) for c in carried] + [pa.array(rows[:, k]) for k in range(len(MEASURES))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*carried, *MEASURES])
+            columns = [batch.column(c) for c in passed] + [pa.array(rows[:, k]) for k in range(len(MEASURES))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*passed, *MEASURES])
 
-    schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in source.schema if c.name != "__text"), *(f"{m} long" for m in MEASURES)])
+    passed = [*carried, "__text"] if keep_text else carried
+    schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in source.schema if c.name in passed), *(f"{m} long" for m in MEASURES)])
     measured = source.mapInArrow(run, schema)
+    if keep_text:
+        measured = measured.withColumnRenamed("__text", text)
     bits = sum((F.when(F.expr(p), bit(r)).otherwise(0) for r, p in RULES.items()), F.lit(0))
     return measured.withColumn("rule_bits", bits.cast("long"))
 
@@ -115,8 +118,8 @@ def ablation(book: DataFrame, policy: str) -> DataFrame:
     return wide.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(bit(r)).alias("bit"), F.col(f"fail_{r}").alias("failed"), F.col(f"only_{r}").alias("failed_alone"), F.col(f"kept_{r}").alias("kept_without")) for r in rules])))
 
 
-def quality_rules(docs: DataFrame, policy: str = "strict-1") -> DataFrame:
+def quality_rules(docs: DataFrame, policy: str = "strict-1", keep_text: bool = False) -> DataFrame:
     """The ledger of docs with base_failed and the policy's verdict."""
-    book = apply_policy(ledger(docs), policy)
+    book = apply_policy(ledger(docs, keep_text=keep_text), policy)
     base = F.col("rule_bits").bitwiseAND(F.lit(mask("base-1"))) != 0
     return book.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & F.col("kept"))

@@ -17,53 +17,60 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return found.where("template <> '' and instance <> ''").select(F.col("template").cast("int"), F.col("instance").cast("int"), "sql")
 
 
-def _outside(text: str, pattern: str, change) -> str:
-    """Apply change to matches of pattern outside of quoted strings."""
-    parts = re.split(r"('(?:[^']|'')*')", text)
-    return "".join(p if k % 2 else re.sub(pattern, change, p, flags=re.I) for k, p in enumerate(parts))
-
-
 def _closing(text: str, start: int) -> int:
-    """The position of the bracket that closes the one at start, outside of quoted strings."""
-    depth, quoted = 0, False
+    """The position of the bracket that closes the one at start."""
+    depth = 0
     for k in range(start, len(text)):
-        c = text[k]
-        if c == "'":
-            quoted = not quoted
-        elif not quoted:
-            depth += (c == "(") - (c == ")")
-            if not depth:
-                return k
+        depth += (text[k] == "(") - (text[k] == ")")
+        if not depth:
+            return k
     raise ValueError("unbalanced brackets")
 
 
+def _wrap(text: str, name: str, before: str, after: str) -> str:
+    """Each call name(x) as before + x + after."""
+    call, done = re.compile(rf"\b{name}\s*\(", re.I), 0
+    while m := call.search(text, done):
+        end = _closing(text, m.end() - 1)
+        text = text[: m.start()] + before + text[m.end() : end] + after + text[end + 1 :]
+        done = m.start() + len(before)
+    return text
+
+
+def _nulls_last(text: str) -> str:
+    """The last ORDER BY with NULLS LAST after each key."""
+    ordered = list(re.finditer(r"\border\s+by\b", text, re.I))
+    if not ordered:
+        return text
+    at = ordered[-1].end()
+    tail = re.search(r"\blimit\b", text[at:], re.I)
+    end = at + tail.start() if tail else len(text)
+    keys, depth = [""], 0
+    for c in text[at:end]:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            keys.append("")
+        else:
+            keys[-1] += c
+    return text[:at] + ",".join(f" {k.strip()} nulls last" for k in keys) + "\n" + text[end:]
+
+
 def translate(text: str) -> str:
     """Spark's SQL for the text of a query: lists, list aggregates that are null over no rows, sorting with nulls last, and
-    division and averages of decimals as double."""
-    text = _outside(text.strip().rstrip(";"), r"\blist_value\s*\(", "array(")
-    for name, before, after in (("array_agg", "nullif(collect_list(", "), cast(array() as array<array<string>>))"), ("avg", "cast(avg(", ") as double)")):
-        done = 0
-        while m := re.compile(rf"\b{name}\s*\(", re.I).search(text, done):
-            end = _closing(text, m.end() - 1)
-            text = text[: m.start()] + before + text[m.end() : end] + after + text[end + 1 :]
-            done = m.start() + len(before)
-            if name == "avg":
-                done = m.start() + len("cast(avg(")
-    text = _outside(text, r"\*\s*100\s*/", "* 100D /")
-    ordered = list(re.finditer(r"\border\s+by\b", text, re.I))
-    if ordered:
-        at = ordered[-1].end()
-        tail = re.search(r"\blimit\b", text[at:], re.I)
-        end = at + tail.start() if tail else len(text)
-        keys, depth, last = [], 0, at
-        for k in range(at, end):
-            depth += (text[k] == "(") - (text[k] == ")")
-            if text[k] == "," and not depth:
-                keys.append(text[last:k])
-                last = k + 1
-        keys.append(text[last:end])
-        text = text[:at] + ",".join(f" {k.strip()} nulls last" for k in keys) + "\n" + text[end:]
-    return text
+    division and averages of decimals as double. Quoted strings are left alone."""
+    quoted: list[str] = []
+
+    def hide(m: re.Match) -> str:
+        quoted.append(m[0])
+        return f"\0{len(quoted) - 1}\0"
+
+    text = re.sub(r"'(?:[^']|'')*'", hide, text.strip().rstrip(";"))
+    text = re.sub(r"\blist_value\s*\(", "array(", text, flags=re.I)
+    text = _wrap(text, "array_agg", "nullif(collect_list(", "), cast(array() as array<array<string>>))")
+    text = _wrap(text, "avg", "cast(avg(", ") as double)")
+    text = re.sub(r"\*\s*100\s*/", "* 100D /", text)
+    text = _nulls_last(text)
+    return re.sub("\0(\\d+)\0", lambda m: quoted[int(m[1])], text)
 
 
 def run_text(spark: SparkSession, db: Tables, relations: list[str], text: str) -> DataFrame:

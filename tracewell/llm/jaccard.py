@@ -11,6 +11,10 @@ documents that are otherwise different. Large groups of near copies would still
 product, each document is held against the least document that shares one of a few min-hashes with it. Verified links
 label documents, and the product is made between documents of different labels alone. It misses no link between
 components: what it leaves out is connected already.
+
+Columns that still hold many documents (groups of near copies that are not near enough to link) make no rows for their pairs
+either. Documents that share such columns form a family; a family is cut into tiles, each pair of tiles is one block of
+the product over whole sets, computed in one task, and the task returns a spanning forest of the links it found.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ COMMON, MOST_COMMON = 64, 500_000
 #: Ids that a closure may carry (8 bytes each); beyond that many, texts are joined to ids by a shuffle.
 MOST_IDS = 1_000_000
 MIN_HASHES = 4
+#: Columns of more documents are multiplied by tiles; a tile has about TILE documents and TILE_GRAMS n-grams at most.
+HEAVY, TILE, TILE_GRAMS = 64, 512, 1_000_000
+#: Families of more documents are not multiplied as a whole but column by column.
+LARGEST_FAMILY = 500_000
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -141,6 +149,109 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str
     return stage(met.where(shared * 100 >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct(), f"{name}-links")
 
 
+def forest(links: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links (pairs of positions below n)."""
+    parent, out = list(range(n)), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links.tolist():
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            parent[rb] = ra
+            out.append((a, b))
+    return out
+
+
+def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, width: int = 4096) -> np.ndarray:
+    """Links (positions) between the sets at left and those at right: overlap counts are added up over blocks of columns, and the
+    product ends early when no pair can reach the overlap that its sizes demand any more."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    grams, column, held = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    rows, column = rows[shared], column[shared]
+    number = np.cumsum(held > 1) - 1
+    column = number[column]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    n = np.array([len(s) for s in sets])
+    need = -(-percent * (n[left][:, None] + n[right][None, :]) // (100 + percent))
+    counts = np.zeros((len(left), len(right)), dtype=np.float32)
+    rest = np.bincount(rows, minlength=len(sets))
+    here = np.full(len(sets), -1)
+    here[left] = np.arange(len(left))
+    there = np.full(len(sets), -1)
+    there[right] = np.arange(len(right))
+    columns = int(number[-1]) + 1 if len(number) else 0
+    for first in range(0, columns, width):
+        a, b = np.searchsorted(column, [first, first + width])
+        r, c = rows[a:b], column[a:b] - first
+        x = np.zeros((len(left), width), dtype=np.float32)
+        y = np.zeros((len(right), width), dtype=np.float32)
+        x[here[r][here[r] >= 0], c[here[r] >= 0]] = 1
+        y[there[r][there[r] >= 0], c[there[r] >= 0]] = 1
+        counts += x @ y.T
+        rest -= np.bincount(r, minlength=len(sets))
+        if not (counts + np.minimum(rest[left][:, None], rest[right][None, :]) >= need).any():
+            return np.empty((0, 2), dtype=np.int64)
+    i, j = np.nonzero((counts >= need) & (need > 0))
+    return np.stack([left[i], right[j]], axis=1)
+
+
+def _heavy_links(docs: DataFrame, heavy: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links (a, b) among documents that share a heavy column (gram, id, n, label), by tiles; a forest per pair of tiles."""
+    heavy = stage(heavy, "heavy")
+    if heavy.isEmpty():
+        return None
+    lead = heavy.groupBy("gram").agg(F.min("id").alias("lead"))
+    families = stage(components(heavy.join(lead, "gram").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()), "families")
+    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    placed = heavy.join(families.join(sizes, "component"), F.col("id") == F.col("node"))
+    whole = F.col("m") <= LARGEST_FAMILY
+    members = stage(placed.select(whole.alias("family"), F.when(whole, F.col("component")).otherwise(F.col("gram")).alias("key"), "id", "n", "label").distinct(), "members")
+    tiles = members.groupBy("family", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    sets = stage(_whole_sets(docs, members.select("id").distinct(), k), "heavy-sets")
+    rows = members.join(tiles, ["family", "key"]).join(sets, "id").where(F.size("grams") == F.col("n"))
+    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("family", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "grams")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "family", "key", "i", "j").sortWithinPartitions("family", "key", "i", "j", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def links() -> pa.RecordBatch:
+            _, _, i, j = at
+            ids, labels = np.array([h[1] for h in held]), np.array([h[2] for h in held])
+            own = np.array([h[0] for h in held])
+            found = block_links([h[3] for h in held], np.flatnonzero(own == i), np.flatnonzero(own == j), percent)
+            a, b = found.T
+            found = found[(ids[a] < ids[b] if i == j else ids[a] != ids[b]) & (labels[a] != labels[b])]
+            pairs = np.array(forest(found, len(held)), dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]].astype(np.int64)), pa.array(ids[pairs[:, 1]].astype(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("family", "key", "i", "j")))
+            grams = batch.column("grams")
+            offsets = grams.offsets.to_numpy()
+            flat = grams.values.to_numpy().view(np.uint64)
+            for r, (key, own, doc_id, label) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in ("own", "id", "label")))):
+                if key != at:
+                    if held:
+                        yield links()
+                    at, held = key, []
+                held.append((own, doc_id, label, flat[offsets[r] : offsets[r + 1]].copy()))
+        if held:
+            yield links()
+
+    return stage(rows.mapInArrow(run, "a long, b long").distinct(), "heavy-links")
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles and component_id.
 
@@ -169,8 +280,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
     # 2. the blocked product, between labels
     postings = sets.select("id", "n", "label", F.explode("prefix").alias("gram"))
-    shared = postings.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
-    block = stage(postings.join(shared, "gram", "left_semi"), "postings")
+    shared = postings.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo <> hi").select("gram", "held")
+    block = stage(postings.join(shared, "gram"), "postings")
+    third = _heavy_links(docs, block.where(F.col("held") > HEAVY).drop("held"), k, percent)
+    # a pair that shares a heavy column is decided above; all columns of any other pair are light
+    block = block.where(F.col("held") <= HEAVY)
     one = block.select(F.col("gram"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     two = block.select(F.col("gram"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     met = one.join(two, "gram").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & fit)
@@ -180,6 +294,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     likely = counts.where(F.col("c") + rest >= _needed(percent, "na", "nb")).select("a", "na", "b", "nb")
     second = _verified(docs, stage(likely, "likely"), k, percent, "likely")
 
-    nodes = components(members.union(first).union(second))
+    links = members.union(first).union(second)
+    nodes = components(links if third is None else links.union(third))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

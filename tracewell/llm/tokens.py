@@ -22,6 +22,13 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write each byte as. Fixed: printing bytes stand for themselves, the others follow from 256."""
+    printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printing else chr(next(others)) for b in range(256)]
+
+
 class WordEncoder:
     """Exact encodings by a tokenizer that drops white space, each distinct word encoded once per worker.
 
@@ -34,9 +41,30 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.entries = entries
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        # the same model behind a splitter at white space, for words that need no other step than their bytes' letters
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.split_words = Tokenizer(self.tok.model)
+        self.split_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {c: "".join(map(byte_letters().__getitem__, chr(c).encode())) for c in range(128, 256)}
+        self.word_ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        self.word_ends[[i for token, i in self.tok.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters alone are single pieces and end in a token that ends a word: they are encoded many at a time."""
+        plain, other = [], []
+        for w in words:
+            (plain if w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100") else other).append(w)
+        if not self.word_ends.any():
+            plain, other = [], words
+        out = {w: np.array(e.ids, dtype=self.dtype).tobytes() for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False))}
+        for a in range(0, len(plain), 2000):
+            part = plain[a : a + 2000]
+            ids = np.array(self.split_words.encode_batch_fast([" ".join(part).translate(self.letters)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = ((np.flatnonzero(self.word_ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            raw = ids.tobytes()
+            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+        return out
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -54,15 +82,15 @@ class WordEncoder:
         known, new = self.known, set()
         for ws in lists:
             new.update(ws)
-        new.difference_update(known)
+        new = new.difference(known)  # looks each of the new up, where an update would walk all that is known
         new.discard("")
         known[""] = b""
         tails: dict[str, tuple[str, str]] = {}
         for w in new:
-            if len(w) > 1 and w[-1] in ",." and w[-2] < "\u0100" and w[-2].isalpha():  # a letter and a mark never share a token
+            if w[-1:] in ",." and len(w) > 1 and w[-2] < "\u0100" and w[-2].isalpha():  # a letter and a mark never share a token
                 tails[w] = (w[:-1], w[-1])
         missing = list((new.difference(tails) | {part for pair in tails.values() for part in pair}).difference(known))
-        known.update(zip(missing, self._encode(missing)))
+        known.update(self._encode(missing))
         for w, (stem, mark) in tails.items():
             known[w] = known[stem] + known[mark]
         out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), dtype=self.dtype) for ws in lists]
@@ -217,9 +245,7 @@ class ByteDecoder:
     def __init__(self, path: str):
         tok = load(path)
         specials = {i: t.content for i, t in tok.get_added_tokens_decoder().items()}
-        printing = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed: the bytes that stand for themselves
-        others = [b for b in range(256) if b not in printing]
-        letters = {chr(b): b for b in printing} | {chr(256 + k): b for k, b in enumerate(others)}
+        letters = {c: b for b, c in enumerate(byte_letters())}
         self.table = [b""] * tok.get_vocab_size()
         for token, i in tok.get_vocab().items():
             self.table[i] = specials[i].encode() if i in specials else bytes(letters[c] for c in token)

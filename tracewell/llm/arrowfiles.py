@@ -59,14 +59,15 @@ class TokenWriter:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
+        """Write whole batches; at the end also the rest, its last row padded. All batches but the last have the same rows."""
         ids = np.concatenate(self.held) if self.held else np.empty(0, self.dtype)
-        whole = len(ids) // self.length * self.length
         step = self.length * self.rows
+        whole = len(ids) // step * step
         for a in range(0, whole, step):
-            self._batch(ids[a : min(a + step, whole)], min(step, whole - a))
+            self._batch(ids[a : a + step], step)
         rest = ids[whole:]
         if last and len(rest):
-            self._batch(np.pad(rest, (0, self.length - len(rest))), len(rest))
+            self._batch(np.pad(rest, (0, -len(rest) % self.length)), len(rest))
             rest = rest[:0]
         self.held, self.n_held = [rest], len(rest)
 

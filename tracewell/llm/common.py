@@ -47,7 +47,7 @@ def crc_mod(column: str, k: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % k
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about max_bytes of text at most (one text may be longer)."""
     for batch in batches:
         if not batch.num_rows:
@@ -75,7 +75,8 @@ def in_id_order(docs: DataFrame, bytes_per_part: int = 64 << 20) -> DataFrame:
     """
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 60) // bytes_per_part)
+    known = size if size < 1 << 60 else 0  # beyond: Spark has no estimate
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(known // bytes_per_part, 1 << 20))
     source = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     return source.repartitionByRange(parts, "doc_id", F.xxhash64("__text")).sortWithinPartitions("doc_id", F.xxhash64("__text"))
 

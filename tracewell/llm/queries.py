@@ -13,6 +13,7 @@ from tracewell.llm.bpe import bpe_encode
 from tracewell.llm.common import crc_mod, table
 from tracewell.llm.impact import top_k
 from tracewell.llm.jaccard import jaccard_components
+from tracewell.llm.oracles import ORACLES
 from tracewell.llm.packing import pack
 from tracewell.llm.rules import quality_rules
 from tracewell.llm.sharding import kd_shards
@@ -73,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -130,7 +130,7 @@ class Unigrams:
 class Scorer:
     """Scores whole texts; each distinct token is scored once while the cache, emptied at `entries`, holds it."""
 
-    def __init__(self, model: Unigrams, entries: int = 500_000):
+    def __init__(self, model: Unigrams, entries: int = 250_000):
         self.model, self.entries = model, entries
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1 << 14, len(model.languages)), np.float32)
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: Unigrams, text: str = "text") -> DataFrame:
             _scorers.clear()
             _scorers[stamp] = Scorer(model)
         scorer = _scorers[stamp]
-        for batch in text_slices(batches, "__text", 2 << 20):
+        for batch in text_slices(batches, "__text", 1 << 20):
             texts = batch.column("__text").to_pylist()
             if model.languages:
                 logs = scorer.scores(texts)

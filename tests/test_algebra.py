@@ -11,9 +11,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tracewell.functions import features
 from tracewell.operators.algebra import Relation, share, top
 from tracewell.plans import templates as T
-from tracewell.plans.batch import arm_params, revenue_params, revenue_share_batch, store_quantity_batch
+from tracewell.plans.batch import arm_params, revenue_params, revenue_share_batch, revenue_witnesses, store_quantity_batch
 from tracewell.plans.sqltext import discover, run_text, translate
 from tracewell.sources.annotate import annotate, number_rows
 from tracewell.sources.schemas import RELATIONS, load, schema
@@ -112,6 +113,9 @@ def test_batch_equals_single_runs(db, spark):
     key = lambda r: (r["i_item_id"], r["i_class"], r["itemrevenue"], repr(r["revenueratio"]), sorted(map(tuple, r["prov"])))
     got = sorted((r["instance"], key(r)) for r in batch.collect())
     assert got == sorted((i, key(r)) for i, c, d in instances for r in T.RevenueShare("web_sales", c, d).run(db).collect())
+    loose = Counter((r["instance"], tuple(r["witness"])) for r in revenue_witnesses(db, "web_sales", revenue_params(spark, instances)).collect())
+    assert loose == Counter((r["instance"], tuple(w)) for r in batch.collect() for w in r["prov"])
+    assert {(r["template"], r["instance"]) for r in features.exploded(T.witnesses(batch), 12).collect()} == {(12, i) for i, _ in loose}
     arms = [(1, 1998, PEOPLE, STATES), (2, 1066, PEOPLE, STATES)]
     rows = {r["instance"]: r["sum_quantity"] for r in store_quantity_batch(db, *arm_params(spark, 48, arms)).collect()}
     assert rows == {1: 8, 2: None}

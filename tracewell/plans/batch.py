@@ -21,16 +21,27 @@ def revenue_params(spark: SparkSession, instances: Sequence[tuple[int, Sequence[
     return spark.createDataFrame([(i, c, d) for i, cs, d in instances for c in cs], "instance int, category string, start date")
 
 
-def revenue_share_batch(db: Tables, channel: str, params: DataFrame, days: int = 30, limit: int | None = 100) -> DataFrame:
-    """Template 12, 20 or 98 for all instances of params: the template's columns after `instance`."""
+def _sold(db: Tables, channel: str, params: DataFrame, days: int) -> Relation:
+    """The joined rows of template 12, 20 or 98, once for each instance that they belong to."""
     p = {"web_sales": "ws", "catalog_sales": "cs", "store_sales": "ss"}[channel]
     items = Relation.base(db["item"], "item")
     wanted = Relation(items.df.join(F.broadcast(params), F.col("i_category") == F.col("category")), items.tokens)
-    sold = (
+    return (
         Relation.base(db[channel], channel)
         .join(wanted, F.col(f"{p}_item_sk") == F.col("i_item_sk"))
         .join(Relation.base(db["date_dim"], "date_dim"), (F.col(f"{p}_sold_date_sk") == F.col("d_date_sk")) & F.col("d_date").between(F.col("start"), F.date_add("start", days)))
     )
+
+
+def revenue_witnesses(db: Tables, channel: str, params: DataFrame, days: int = 30) -> DataFrame:
+    """instance, witness: a row per witness of the unlimited template, without grouping: features need no bags."""
+    return _sold(db, channel, params, days).project(F.col("instance")).withColumnRenamed("prov", "witness")
+
+
+def revenue_share_batch(db: Tables, channel: str, params: DataFrame, days: int = 30, limit: int | None = 100) -> DataFrame:
+    """Template 12, 20 or 98 for all instances of params: the template's columns after `instance`."""
+    p = {"web_sales": "ws", "catalog_sales": "cs", "store_sales": "ss"}[channel]
+    sold = _sold(db, channel, params, days)
     keys = ["instance", "i_item_id", "i_item_desc", "i_category", "i_class", "i_current_price"]
     groups = sold.group([F.col(k) for k in keys], F.sum(f"{p}_ext_sales_price").alias("itemrevenue"))
     rows = share(groups, "itemrevenue", ["instance", "i_class"], 100, "revenueratio").select(*keys, "itemrevenue", "revenueratio", "prov")

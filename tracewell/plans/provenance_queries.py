@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import classify, features, similarity
 from tracewell.operators.algebra import Relation
 from tracewell.plans import templates as T
-from tracewell.plans.batch import arm_params, revenue_params, revenue_share_batch, store_quantity_batch
+from tracewell.plans.batch import arm_params, revenue_params, revenue_share_batch, revenue_witnesses, store_quantity_batch
 from tracewell.plans.report_queries import CATEGORIES, PEOPLE, STATES, digest
 from tracewell.sources.star import star, star_sql
 from tracewell.sources.staging import stage
@@ -132,8 +132,8 @@ def _corpus(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
     parts = []
     for template, channel in ((12, "web_sales"), (20, "catalog_sales"), (98, "store_sales")):
         params = revenue_params(spark, [(i, [kinds[(i + template + j) % 6] for j in range(3)], date(1998 + i % 3, i % 12 + 1, template % 27 + 1)) for i in range(1, n + 1)])
-        rows = T.witnesses(revenue_share_batch(star(spark, sf_dir), channel, params, limit=None))
-        parts.append(features.exploded(rows, template))
+        rows = revenue_witnesses(star(spark, sf_dir), channel, params)
+        parts.append(rows.select(F.lit(template).alias("template"), "instance", "witness"))
     return parts[0].union(parts[1]).union(parts[2])
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import subprocess
+import sys
 from collections import Counter
 from decimal import Decimal
 
@@ -159,6 +161,12 @@ def test_numbering(spark, tmp_path):
     assert len(RELATIONS) == 16
 
 
+def test_stages_are_cleared():
+    """In a process of its own: the shared session still reads its tables."""
+    code = "from pyspark.sql import SparkSession; from tracewell.sources.staging import *; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); df = stage(s.range(3), 'x'); assert df.count() == 3; p = application_dir(s).removeprefix('file://'); assert os.path.isdir(p); clear_stages(s); assert not os.path.exists(p); print('cleared')"
+    assert "cleared" in subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120).stdout
+
+
 TEXT = """select i_item_id, i_class, sum(ws_ext_sales_price) as itemrevenue, sum(ws_ext_sales_price)*100/sum(sum(ws_ext_sales_price)) over (partition by i_class) as revenueratio,
  array_agg(list_value(web_sales.prov, item.prov, date_dim.prov)) prov
 from web_sales, item, date_dim where ws_item_sk = i_item_sk and i_category in ('Music', 'avg(') and ws_sold_date_sk = d_date_sk and ws_ext_sales_price > 0

@@ -18,8 +18,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tracewell/{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. DataFrames that read them cannot be run any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/tracewell/{name}-{uuid.uuid4().hex}"
+    path = f"{application_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

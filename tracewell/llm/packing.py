@@ -35,22 +35,21 @@ def sentence_ends(vocab: dict[str, int]) -> np.ndarray:
     return out
 
 
+_ends: dict[str, np.ndarray] = {}
+
+
 def candidates(doc_ends: np.ndarray, ends: np.ndarray, sentence: float, hard: float, step: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, penalties) of the allowed cuts, 0 and the stream's end included: positions after which a window may end."""
     total = int(doc_ends[-1])
-    pos = np.unique(np.concatenate([[0], doc_ends, ends]))
-    gaps = np.diff(pos)
-    wide = np.flatnonzero(gaps > 2 * step)
-    extra = [np.arange(pos[k] + step, pos[k + 1] - step // 2, step) for k in wide]
-    if extra:
-        more = np.concatenate(extra)
-        pos = np.unique(np.concatenate([pos, more]))
-    penalty = np.full(len(pos), hard)
-    penalty[np.isin(pos, ends, assume_unique=False)] = sentence
-    penalty[np.isin(pos, doc_ends)] = 0.0
-    penalty[0] = 0.0
-    assert pos[-1] == total
-    return pos, penalty
+    kind = np.zeros(total + 1, dtype=np.int8)  # 0: no cut, 1: hard, 2: sentence, 3: document
+    kind[ends] = 2
+    kind[doc_ends] = 3
+    kind[0] = 3
+    pos = np.flatnonzero(kind)
+    for k in np.flatnonzero(np.diff(pos) > 2 * step).tolist():
+        kind[pos[k] + step : pos[k + 1] - step // 2 : step] = 1
+    pos = np.flatnonzero(kind)
+    return pos, np.array([0.0, hard, sentence, 0.0])[kind[pos]]
 
 
 def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int, window_cost: float, powers: tuple[int, ...]) -> list[int]:
@@ -99,7 +98,7 @@ def pack_stream(docs: list[tuple[int | None, np.ndarray]], ends_of: np.ndarray,
     doc_ends = np.cumsum(lengths)
     stream = np.concatenate([x for _, x in docs])
     pos, penalty = candidates(doc_ends, np.flatnonzero(ends_of[stream]) + 1, sentence, hard, length // 8)
-    powers = tuple(1 << k for k in range(length.bit_length()) if length // 8 <= 1 << k <= length)
+    powers = tuple(1 << k for k in range(length.bit_length()) if length // 8 <= 1 << k < length)  # a full window needs no padding anyway
     cuts = pos[best_cuts(pos, penalty, length, window_cost, powers)].tolist()
     out, d, doc_start = [], 0, 0
     for seq, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -125,7 +124,9 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(vocabulary)
-        ends_of = sentence_ends(encoder.tok.get_vocab())
+        if vocabulary not in _ends:
+            _ends[vocabulary] = sentence_ends(encoder.tok.get_vocab())
+        ends_of = _ends[vocabulary]
         part, sequences, held, n_held = TaskContext.get().partitionId(), 0, [], 0
         end = np.array([end_id], dtype=encoder.dtype)
 

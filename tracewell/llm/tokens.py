@@ -29,6 +29,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printing else chr(next(others)) for b in range(256)]
 
 
+def is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """Exact encodings by a tokenizer that drops white space, each distinct word encoded once per worker.
 
@@ -36,7 +45,7 @@ class WordEncoder:
     order. The cache is emptied when it holds `entries` words; words beyond 64 characters are not kept.
     """
 
-    def __init__(self, path: str, entries: int = 600_000):
+    def __init__(self, path: str, entries: int = 900_000):
         self.tok = load(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.entries = entries
@@ -52,23 +61,31 @@ class WordEncoder:
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters alone are single pieces and end in a token that ends a word: they are encoded many at a time."""
-        plain, other = [], []
+        ascii_words, latin, other = [], [], []
         for w in words:
-            (plain if w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100") else other).append(w)
+            if w.isalpha() and w.islower():
+                (ascii_words if w.isascii() else latin).append(w)
+            else:
+                other.append(w)
         if not self.word_ends.any():
-            plain, other = [], words
+            ascii_words, latin, other = [], [], words
+        if not is_latin(" ".join(latin)):
+            other += [w for w in latin if not is_latin(w)]
+            latin = [w for w in latin if is_latin(w)]
         out = {w: np.array(e.ids, dtype=self.dtype).tobytes() for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False))}
-        for a in range(0, len(plain), 2000):
-            part = plain[a : a + 2000]
-            ids = np.array(self.split_words.encode_batch_fast([" ".join(part).translate(self.letters)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            ends = ((np.flatnonzero(self.word_ends[ids]) + 1) * self.dtype.itemsize).tolist()
-            raw = ids.tobytes()
-            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+        for kind in (ascii_words, latin):
+            for a in range(0, len(kind), 2000):
+                part = kind[a : a + 2000]
+                line = " ".join(part)
+                ids = np.array(self.split_words.encode_batch_fast([line if kind is ascii_words else line.translate(self.letters)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+                ends = ((np.flatnonzero(self.word_ends[ids]) + 1) * self.dtype.itemsize).tolist()
+                raw = ids.tobytes()
+                out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
         return out
 
     @staticmethod
     def words(text: str) -> list[str]:
-        if text.isascii() or max(text) < "\u0100":  # lower-casing does not depend on neighbours, and NFC changes nothing
+        if is_latin(text):  # lower-casing does not depend on neighbours, and NFC changes nothing
             text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split() alone
             return re.split("[ \\t\\n\\r\\x0b\\x0c\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+", text)
@@ -87,7 +104,7 @@ class WordEncoder:
         known[""] = b""
         tails: dict[str, tuple[str, str]] = {}
         for w in new:
-            if w[-1:] in ",." and len(w) > 1 and w[-2] < "\u0100" and w[-2].isalpha():  # a letter and a mark never share a token
+            if w.endswith((",", ".")) and w[-2:-1].isalpha() and w[-2] < "\u0100":  # a letter and a mark never share a token
                 tails[w] = (w[:-1], w[-1])
         missing = list((new.difference(tails) | {part for pair in tails.values() for part in pair}).difference(known))
         known.update(self._encode(missing))

@@ -18,17 +18,12 @@ from pyarrow import fs, ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm.common import in_id_order, new_path, running_base, stage, text_slices
+from tracewell.llm.common import in_id_order, new_path, resident, running_base, stage, text_slices
 from tracewell.llm.tokens import WordEncoder, public_path
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def word_encoder(vocabulary: str) -> WordEncoder:
     """One encoder per Python worker: its cache lasts over tasks."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = WordEncoder(public_path(vocabulary))
-    return _encoders[vocabulary]
+    return resident(("words", vocabulary), lambda: WordEncoder(public_path(vocabulary)))
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:

@@ -9,17 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import text_slices
+from tracewell.llm.common import resident, text_slices
 from tracewell.llm.tokens import ByteDecoder, ChunkEncoder, public_path
 
-_coders: dict[str, tuple[ChunkEncoder, ByteDecoder]] = {}
-
-
 def coder(path: str) -> tuple[ChunkEncoder, ByteDecoder]:
     """One encoder and decoder per Python worker, which Spark uses for many tasks: their caches last."""
-    if path not in _coders:
-        _coders[path] = ChunkEncoder(path), ByteDecoder(path)
-    return _coders[path]
+    return resident(("chunks", path), lambda: (ChunkEncoder(path), ByteDecoder(path)))
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", decode: bool = True, keep_ids: bool = True, text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_rows, text_slices, utf8_parts
+from tracewell.llm.common import bounded_rows, resident, text_slices, utf8_parts
 
 HOP, WIDTH, DIM, PAD = 8, 16, 8, 256
 
@@ -146,6 +146,7 @@ def classify(docs: DataFrame, model: ByteCnn, threshold: float = 0.3, text: str
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(__name__)
         for batch in text_slices(batches, text):
             scores = model.score(*utf8_parts(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])

@@ -13,8 +13,19 @@ from pyspark.sql import functions as F
 
 from tracewell.sources.staging import application_dir, stage
 
-__all__ = ["bounded_rows", "crc_mod", "hashed_below", "in_id_order", "new_path", "running_base", "stage", "table", "text_slices", "utf8_parts"]
+__all__ = ["bounded_rows", "crc_mod", "hashed_below", "in_id_order", "new_path", "resident", "running_base", "stage", "table", "text_slices", "utf8_parts"]
 
+_resident: dict = {}
+
+
+def resident(key, make=lambda: None):
+    """What an operator keeps in a Python worker over its tasks: made once, and dropped when another operator's is asked for.
+
+    Spark uses a worker for the tasks of many operators; their caches must not add up."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_rows, hashed_below, stage, text_slices
+from tracewell.llm.common import bounded_rows, hashed_below, resident, stage, text_slices
 from tracewell.llm.tokens import public_path
 
 LONGEST = 8  # characters of a piece, the word start included
@@ -36,7 +36,9 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> list[str]:
 
 def letter_runs(token: str) -> list[str]:
     """The runs of letters of a token, lower-cased, each with the word start before it and STRETCH letters at most."""
-    runs = "".join(c if c.isalpha() else " " for c in token.lower()).split()
+    token = token.lower()
+    word = token.rstrip(".,!?")
+    runs = [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in token).split()
     return [START + r[a : a + STRETCH] for r in runs for a in range(0, len(r), STRETCH)]
 
 
@@ -60,7 +62,7 @@ class Unigrams:
     def lattice(self, words: list[str]) -> list[tuple[int, int, np.ndarray]]:
         """(start, end, piece of each word) for words of one length; the row after the pieces stands for an unknown character."""
         n, unknown = len(words[0]), len(self.pieces)
-        codes = np.array([[ord(c) for c in w] for w in words], dtype=np.uint64) + np.uint64(1)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), n).astype(np.uint64) + np.uint64(1)
         out = []
         for a in range(n):
             h = np.zeros(len(words), dtype=np.uint64)
@@ -181,9 +183,6 @@ def train(docs: DataFrame, max_docs: int = 600, max_bytes: int = 4 << 20, max_la
     return Unigrams(vocabulary(), languages).fit(counts)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def identify(docs: DataFrame, model: Unigrams, text: str = "text") -> DataFrame:
     """docs without the text, with lang_pred and score (the predicted language's share of the probability, 0 to 1).
 
@@ -195,10 +194,7 @@ def identify(docs: DataFrame, model: Unigrams, text: str = "text") -> DataFrame:
     stamp = hash((tuple(model.languages), model.p.tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if stamp not in _scorers:
-            _scorers.clear()
-            _scorers[stamp] = Scorer(model)
-        scorer = _scorers[stamp]
+        scorer = resident(("languages", stamp), lambda: Scorer(model))
         for batch in text_slices(batches, "__text", 1 << 20):
             texts = batch.column("__text").to_pylist()
             if model.languages:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import text_slices
+from tracewell.llm.common import resident, text_slices
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -88,6 +88,7 @@ def ledger(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Data
     source = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(__name__)
         for batch in text_slices(batches, "__text"):
             rows = np.array([measure(x) for x in batch.column("__text").to_pylist()], dtype=np.int64).reshape(-1, len(MEASURES))
             columns = [batch.column(c) for c in passed] + [pa.array(rows[:, k]) for k in range(len(MEASURES))]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from tracewell.llm.common import resident
+
 _CODES = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)  # odd: powers have inverses modulo 2**64
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
@@ -11,7 +13,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,13 +23,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("step", ())) < n:
-        size = max(n, 1 << 20)
+    """Powers of _STEP and of its inverse, n of each at least; kept while shingles are asked for."""
+    held = resident(__name__, dict)
+    if len(held.get("step", ())) < n:
+        size = max(n, 5 << 18)
         for name, base in (("step", _STEP), ("back", _BACK)):
             table = np.full(size, base, dtype=np.uint64)
             table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["step"], _powers["back"]
+            held[name] = np.multiply.accumulate(table)
+    return held["step"], held["back"]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import stage
+from tracewell.llm.common import resident, stage
 
 LEVELS = 32
 #: Scaled components beyond this are out of range: their products would not fit the integers.
 LARGEST = 1 << 24
+#: Blocks of queries that one task reads against a block of vectors.
+AT_ONCE = 64
 
 
 def quantise(vectors: list, scale: int) -> list[np.ndarray | None]:
@@ -151,23 +153,32 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
                     yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "own": pa.array([block], pa.int64()), "nq": pa.array([len(p)], pa.int32()), "at": [p.astype("<i8").tobytes()], "query_ids": [ids[p].tobytes()], "queries": [rows[p].tobytes()]})
 
     asked = blocks.mapInArrow(pick, "dims int, own long, nq int, at binary, query_ids binary, queries binary")
-    # every block of queries meets every block of vectors of its length once: an equi-join on the number of dimensions, salted by block
+    # every block of queries meets every block of vectors of its length once. A block of vectors is sent to as many tasks as its
+    # queries are dealt over: to keep all tasks busy, and to hold AT_ONCE blocks of queries a task at most
+    asked = stage(asked, "queries")
+    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_blocks, n_asked = max(1, blocks.count()), asked.count()
+    salts = max(1, min(n_asked, max(-(-n_asked // AT_ONCE), -(-parts // n_blocks))))
     listed = blocks.groupBy("dims").agg(F.collect_list("block").alias("blocks"))
-    met = asked.join(listed, "dims").withColumn("block", F.explode("blocks")).drop("blocks", "dims").join(blocks, "block")
-    met = met.repartition(max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block", "own", "at")
+    salted = F.pmod(F.xxhash64("own", "at"), F.lit(salts)).cast("int")
+    questions = asked.join(listed, "dims").withColumn("block", F.explode("blocks")).select("block", salted.alias("salt"), F.lit(1).alias("kind"), "dims", F.col("nq").alias("n"), F.col("query_ids").alias("ids"), F.col("queries").alias("rows"), "own", "at")
+    indexed = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("block", "salt", F.lit(0).alias("kind"), "dims", "n", "ids", "rows", F.lit(None).cast("long").alias("own"), F.lit(None).cast("binary").alias("at"))
+    met = indexed.union(questions).repartition(parts, "block", "salt").sortWithinPartitions("block", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, of = None, None
+        resident(__name__)
+        index, candidates = None, None
         for batch in batches:
-            for block, own, dims, n, ids, rows, nq, at, query_ids, queries in zip(*(batch.column(c).to_pylist() for c in ("block", "own", "dims", "n", "ids", "rows", "nq", "at", "query_ids", "queries"))):
-                if of != block:
-                    index, of = BlockIndex(np.frombuffer(rows, "<i4").reshape(n, dims).astype(np.int64)), block
-                ids = np.frombuffer(ids, "<i8")
+            for block, kind, dims, n, ids, rows, own, at in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "dims", "n", "ids", "rows", "own", "at"))):
+                ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i4").reshape(n, dims).astype(np.int64)
+                if kind == 0:
+                    index, candidates = (BlockIndex(rows) if n else None), ids
+                    continue
                 found = []
-                for p, query_id, q in zip(np.frombuffer(at, "<i8").tolist(), np.frombuffer(query_ids, "<i8").tolist(), np.frombuffer(queries, "<i4").reshape(nq, dims)):
-                    members, scores = index.top(q.astype(np.int64), k, p if own == block else None)
-                    best = np.lexsort((ids[members], -scores))[:k]
-                    found.append((np.full(len(best), query_id), np.full(len(best), own), np.full(len(best), p), ids[members[best]], scores[best]))
+                for p, query_id, q in zip(np.frombuffer(at, "<i8").tolist(), ids.tolist(), rows):
+                    members, scores = index.top(q, k, p if own == block else None)
+                    best = np.lexsort((candidates[members], -scores))[:k]
+                    found.append((np.full(len(best), query_id), np.full(len(best), own), np.full(len(best), p), candidates[members[best]], scores[best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)], names=["query_id", "own", "p", "vec_id", "score"])
 
     near = met.mapInArrow(run, "query_id long, own long, p long, vec_id long, score long")

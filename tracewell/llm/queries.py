@@ -62,7 +62,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return url_filter(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

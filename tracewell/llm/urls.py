@@ -95,13 +95,13 @@ def match_rule(rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
 
 
 def url_filter(pages: DataFrame, model: UrlModel | None = None, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5, url: str = "url") -> DataFrame:
-    """All columns of pages but html-like extras are kept; adds host, path, rule, score (null where a rule decides) and verdict.
+    """pages with host, path, rule, score (null where a rule decides) and verdict.
 
     Defined results: a null url or one without :// has empty host and path, so no rule fits and the model scores the
     empty strings; repeated rows get a row each; input columns named host, path, rule, score or verdict are replaced.
     """
     model = model or UrlModel.train(training_table())
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict", url)]
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
     cut = pages.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("__url"))
     host, path = split_url(F.col("__url"))
     cut = cut.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))

@@ -160,11 +160,19 @@ class ChunkEncoder:
     emptied when they hold `entries` chunks or `pieces` pieces; chunks over 4096 bytes and long pieces are not kept.
     """
 
-    def __init__(self, path: str, entries: int = 100_000, pieces: int = 600_000, bits: int = 8):
+    def __init__(self, path: str, entries: int = 100_000, pieces: int = 600_000, bits: int = 9):
         self.tok = load(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        # the same model behind a splitter at white space, for pieces of ASCII letters
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.split_words = Tokenizer(self.tok.model)
+        self.split_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.space = byte_letters()[32]
+        self.word_starts = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        self.word_starts[[i for token, i in self.tok.get_vocab().items() if token.startswith(self.space)]] = True
         self.entries, self.most, self.bits = entries, pieces, bits
         self.chunks: dict[bytes, tuple[bytes, list[bytes] | bytes, bytes] | None] = {}
         self.known: dict[bytes, bytes] = {}
@@ -246,11 +254,20 @@ class ChunkEncoder:
         known, tails = self.known, []
         new = need.difference(known)
         for key in new:
-            if len(key) > 1 and key[-1] in b",." and key[-2:-1].isalpha():  # a letter and a mark never share a token
+            if key.endswith((b",", b".")) and key[-2:-1].isalpha():  # a letter and a mark never share a token
                 tails.append(key)
         missing = list((new.difference(tails) | {k[:-1] for k in tails} | {b" ,", b" ."}).difference(known))
-        encoded = self.tok.encode_batch_fast([self._piece(k).decode("utf-8") for k in missing], add_special_tokens=False)
-        known.update((k, np.array(e.ids, dtype=self.dtype).tobytes()) for k, e in zip(missing, encoded))
+        plain = [k for k in missing if k.isalpha()]  # ASCII letters after a space: a single piece
+        for a in range(0, len(plain), 2000):
+            part = plain[a : a + 2000]
+            line = " ".join(self.space + k.decode() for k in part)
+            ids = np.array(self.split_words.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            starts = (np.flatnonzero(self.word_starts[ids]) * self.dtype.itemsize).tolist()
+            raw = ids.tobytes()
+            known.update(zip(part, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))))
+        other = [k for k in missing if not k.isalpha()]
+        encoded = self.tok.encode_batch_fast([self._piece(k).decode("utf-8") for k in other], add_special_tokens=False)
+        known.update((k, np.array(e.ids, dtype=self.dtype).tobytes()) for k, e in zip(other, encoded))
         for key in tails:
             known[key] = known[key[:-1]] + known[b" " + key[-1:]]
         return [*missing, *tails]

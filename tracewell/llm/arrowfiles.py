@@ -18,7 +18,7 @@ from pyarrow import fs, ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm.common import in_id_order, new_path, resident, running_base, stage, text_slices
+from tracewell.llm.common import in_id_order, map_batches, new_path, resident, running_base, stage, text_slices
 from tracewell.llm.tokens import WordEncoder, public_path
 
 def word_encoder(vocabulary: str) -> WordEncoder:
@@ -142,7 +142,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": pa.array([len(writer.index)], pa.int64()), "n_tokens": pa.array([writer.total], pa.int64())})
 
-    manifest = stage(in_id_order(docs).mapInArrow(run, "part int, file string, n_docs long, n_tokens long"), "token-manifest")
+    manifest = stage(map_batches(in_id_order(docs), run, "part int, file string, n_docs long, n_tokens long"), "token-manifest")
     return running_base(manifest, "part", "n_tokens")
 
 
@@ -156,7 +156,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = max(1, manifest.count())
-    return manifest.select("file", "base").repartition(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(manifest.select("file", "base").repartition(files), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import resident, text_slices
+from tracewell.llm.common import map_batches, resident, text_slices
 from tracewell.llm.tokens import ByteDecoder, ChunkEncoder, public_path
 
 def coder(path: str) -> tuple[ChunkEncoder, ByteDecoder]:
@@ -49,7 +49,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", decode: b
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", ids: str = "ids") -> DataFrame:
@@ -62,4 +62,4 @@ def bpe_decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", ids: s
             texts = [None if x is None else decoder.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
+    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_rows, resident, text_slices, utf8_parts
+from tracewell.llm.common import bounded_rows, map_batches, resident, text_slices, utf8_parts
 
 HOP, WIDTH, DIM, PAD = 8, 16, 8, 256
 
@@ -152,4 +152,4 @@ def classify(docs: DataFrame, model: ByteCnn, threshold: float = 0.3, text: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in source.schema), "score double", "predicted int"])
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.sources.staging import application_dir, stage
 
-__all__ = ["bounded_rows", "crc_mod", "hashed_below", "in_id_order", "new_path", "resident", "running_base", "stage", "table", "text_slices", "utf8_parts"]
+__all__ = ["bounded_rows", "crc_mod", "hashed_below", "in_id_order", "map_batches", "new_path", "resident", "running_base", "stage", "table", "text_slices", "utf8_parts"]
 
 _resident: dict = {}
 
@@ -28,6 +28,14 @@ def resident(key, make=lambda: None):
     return _resident[key]
 
 
+def map_batches(df: DataFrame, function, schema: str, most: str = "4m") -> DataFrame:
+    """mapInArrow over record batches of about `most` bytes: by rows alone, long texts would make a batch of any size.
+
+    The bound is a setting of the session and stays set."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    return df.mapInArrow(function, schema)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

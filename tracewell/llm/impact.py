@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import resident, stage
+from tracewell.llm.common import map_batches, resident, stage
 
 LEVELS = 32
 #: Scaled components beyond this are out of range: their products would not fit the integers.
@@ -129,7 +129,7 @@ def vector_blocks(vectors: DataFrame, scale: int = 1024, rows_per_block: int = 1
         for dims in list(held):
             yield block(dims)
 
-    packed = source.repartition(parts).mapInArrow(run, "dims int, n int, ids binary, rows binary")
+    packed = map_batches(source.repartition(parts), run, "dims int, n int, ids binary, rows binary")
     return stage(packed.withColumn("block", F.monotonically_increasing_id()), "vectors")
 
 
@@ -152,7 +152,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
                     p = at[a : a + queries_per_block]
                     yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "own": pa.array([block], pa.int64()), "nq": pa.array([len(p)], pa.int32()), "at": [p.astype("<i8").tobytes()], "query_ids": [ids[p].tobytes()], "queries": [rows[p].tobytes()]})
 
-    asked = blocks.mapInArrow(pick, "dims int, own long, nq int, at binary, query_ids binary, queries binary")
+    asked = map_batches(blocks, pick, "dims int, own long, nq int, at binary, query_ids binary, queries binary")
     # every block of queries meets every block of vectors of its length once. A block of vectors is sent to as many tasks as its
     # queries are dealt over: to keep all tasks busy, and to hold AT_ONCE blocks of queries a task at most
     asked = stage(asked, "queries")
@@ -181,7 +181,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
                     found.append((np.full(len(best), query_id), np.full(len(best), own), np.full(len(best), p), candidates[members[best]], scores[best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)], names=["query_id", "own", "p", "vec_id", "score"])
 
-    near = met.mapInArrow(run, "query_id long, own long, p long, vec_id long, score long")
+    near = map_batches(met, run, "query_id long, own long, p long, vec_id long, score long")
     order = Window.partitionBy("query_id", "own", "p").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

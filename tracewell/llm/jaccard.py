@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import stage, text_slices, utf8_parts
+from tracewell.llm.common import map_batches, stage, text_slices, utf8_parts
 from tracewell.llm.components import components
 from tracewell.llm.shingles import mix, shingle_sets
 
@@ -71,7 +71,7 @@ def common_grams(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     # one row an n-gram and slice of texts is shuffled; few of them are common
-    counted = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counted = map_batches(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     counted = stage(counted, "common")
     by_count = sorted((r["b"], r["c"]) for r in counted.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect())
     least, room = math.inf, MOST_COMMON
@@ -105,7 +105,7 @@ def document_rows(docs: DataFrame, k: int, percent: int, common: np.ndarray) ->
             mins = [np.array([mix(s ^ x).min() for x in salts]) if len(s) else s for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, pa.binary()), _longs(heads), _longs(mins)], names=["doc_id", "n", "sign", "prefix", "mins"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sign binary, prefix array<long>, mins array<long>")
+    return map_batches(docs, run, "doc_id long, n long, sign binary, prefix array<long>, mins array<long>")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -121,9 +121,10 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 keep = wanted[at] == own if len(wanted) else np.zeros(len(own), bool)
                 yield from _grams([batch.filter(pa.array(keep))], k)
 
-        rows = docs.mapInArrow(pick, "id long, grams array<long>")
+        rows = map_batches(docs, pick, "id long, grams array<long>")
     else:
-        rows = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(lambda batches: _grams(batches, k), "id long, grams array<long>")
+        met = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        rows = map_batches(met, lambda batches: _grams(batches, k), "id long, grams array<long>")
     return rows
 
 
@@ -249,7 +250,7 @@ def _heavy_links(docs: DataFrame, heavy: DataFrame, k: int, percent: int) -> Dat
         if held:
             yield links()
 
-    return stage(rows.mapInArrow(run, "a long, b long").distinct(), "heavy-links")
+    return stage(map_batches(rows, run, "a long, b long").distinct(), "heavy-links")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

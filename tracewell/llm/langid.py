@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_rows, hashed_below, resident, stage, text_slices
+from tracewell.llm.common import bounded_rows, hashed_below, map_batches, resident, stage, text_slices
 from tracewell.llm.tokens import public_path
 
 LONGEST = 8  # characters of a piece, the word start included
@@ -209,4 +209,4 @@ def identify(docs: DataFrame, model: Unigrams, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(share, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in source.schema if c.name != "__text"), "lang_pred string", "score double"])
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.arrowfiles import word_encoder
-from tracewell.llm.common import in_id_order, running_base, stage, text_slices
+from tracewell.llm.common import in_id_order, map_batches, running_base, stage, text_slices
 
 
 def sentence_ends(vocab: dict[str, int]) -> np.ndarray:
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1
             yield flush()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, local long, offset long, part int" + ", ids array<int>" * keep_ids
-    pieces = stage(in_id_order(docs).mapInArrow(run, schema), "pieces")
+    pieces = stage(map_batches(in_id_order(docs), run, schema), "pieces")
     parts = running_base(pieces.groupBy("part").agg((F.max("local") + 1).alias("n")), "part", "n").drop("n")
     placed = pieces.join(F.broadcast(parts), "part").withColumn("sequence_id", F.col("base") + F.col("local"))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import resident, text_slices
+from tracewell.llm.common import map_batches, resident, text_slices
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -96,7 +96,7 @@ def ledger(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Data
 
     passed = [*carried, "__text"] if keep_text else carried
     schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in source.schema if c.name in passed), *(f"{m} long" for m in MEASURES)])
-    measured = source.mapInArrow(run, schema)
+    measured = map_batches(source, run, schema)
     if keep_text:
         measured = measured.withColumnRenamed("__text", text)
     bits = sum((F.when(F.expr(p), bit(r)).otherwise(0) for r, p in RULES.items()), F.lit(0))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import map_batches
+
 #: Fixed labelled table (1: block). Host and path are put together from these parts, see training_table().
 BAD_PARTS = ("adult-x", "adult", "xxx", "porn-tube", "casino", "casino-win", "bet-now", "poker-online", "cheap-pills", "pills-rx", "viagra-shop", "free-money", "loan-fast", "win-prize", "hot-dates", "sexcam", "crack-serial", "warez", "replica-watch", "spam-links", "click-bait", "adserver", "ads-tracker", "free-spins", "betting-odds")
 GOOD_PARTS = ("news", "wiki", "library", "science", "docs", "blog", "museum", "school", "university", "recipes", "garden", "travel", "history", "weather", "forum", "shop", "music", "sports", "health", "books", "maps", "tionther", "ththre", "ererthan", "ingonst", "thwhand")
@@ -125,5 +127,5 @@ def url_filter(pages: DataFrame, model: UrlModel | None = None, rules: tuple[tup
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in ruled.schema), "score double"])
-    scored = ruled.mapInArrow(run, schema)
+    scored = map_batches(ruled, run, schema)
     return scored.withColumn("verdict", F.coalesce(F.col("__verdict"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))).drop("__verdict")

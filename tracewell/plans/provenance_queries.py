@@ -106,7 +106,7 @@ def batch_window_share(spark, sf_dir):
     return digest(revenue_share_batch(star(spark, sf_dir), "store_sales", revenue_params(spark, SHARES)))
 
 
-ARMS = [(1, 2000, PEOPLE, STATES), (2, 1999, (("D", "College"), ("W", "Unknown"), ("M", "4 yr Degree")), (STATES[1], STATES[2], STATES[0])), (3, 1989, PEOPLE, STATES)]
+ARMS = [(1, 2000, PEOPLE, STATES), (2, 1999, (("S", "Primary"), ("U", "Secondary"), ("D", "4 yr Degree")), (STATES[1], STATES[2], STATES[0])), (3, 1989, PEOPLE, STATES)]
 
 
 def _arms_sql() -> str:

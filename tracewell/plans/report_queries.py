@@ -12,20 +12,20 @@ from tracewell.plans import templates as T
 from tracewell.sources.star import star, star_sql
 
 CATEGORIES = ("ECONOMY", "LARGE", "PROMO")
-STATES = (("PA", "NE", "SD"), ("AL", "IN", "MO"), ("NC", "TX", "NM"))
-PEOPLE = (("M", "Secondary"), ("U", "Primary"), ("S", "2 yr Degree"))
+STATES = (("CA", "OR", "WA"), ("NV", "AZ", "UT"), ("CO", "NM", "TX"))
+PEOPLE = (("W", "College"), ("D", "Unknown"), ("M", "Advanced Degree"))
 
 INSTANCES: dict[str, object] = {
-    "tpl_12": T.RevenueShare("web_sales", CATEGORIES, date(1998, 2, 15)),
+    "tpl_12": T.RevenueShare("web_sales", CATEGORIES, date(1997, 5, 3)),
     "tpl_13": T.StoreAverages(*T.arms(13, PEOPLE, STATES), year=2000),
-    "tpl_18": T.CatalogRollup("M", "College", (6, 11, 2, 7, 12, 4), 2000, ("PA", "NE", "SD", "AL", "IN", "TX", "NM")),
+    "tpl_18": T.CatalogRollup("F", "Primary", (1, 3, 5, 8, 9, 10), 2000, ("CA", "OR", "WA", "NV", "AZ", "CO", "TX")),
     "tpl_20": T.RevenueShare("catalog_sales", CATEGORIES, date(1999, 6, 1)),
-    "tpl_37": T.StockedItems("catalog_sales", 20, date(1998, 1, 4), (17, 42, 67, 92, 5, 30)),
+    "tpl_37": T.StockedItems("catalog_sales", 20, date(1996, 9, 10), (17, 42, 67, 92, 5, 30)),
     "tpl_48": T.StoreQuantity(*T.arms(48, PEOPLE, STATES), year=2000),
     "tpl_82": T.StockedItems("store_sales", 55, date(1999, 3, 1), (60, 65, 70, 75, 80, 85)),
-    "tpl_84": T.ReturningCustomers("City 3", 16807),
+    "tpl_84": T.ReturningCustomers("City 3", 25000),
     "tpl_85": T.WebReturns(*T.arms(85, PEOPLE, STATES), year=2000),
-    "tpl_98": T.RevenueShare("store_sales", CATEGORIES, date(1998, 2, 15), limit=None),
+    "tpl_98": T.RevenueShare("store_sales", CATEGORIES, date(1997, 5, 3), limit=None),
 }
 
 

@@ -38,7 +38,7 @@ _DERIVED: dict[str, tuple[str, dict[str, str]]] = {
     "web_returns": ("returned", {"wr_item_sk": "l_partkey", "wr_order_number": "l_orderkey", "wr_reason_sk": "l_suppkey % 8", "wr_refunded_addr_sk": "o_custkey % 200", "wr_refunded_cdemo_sk": "(l_orderkey + l_suppkey) % 1400", "wr_returning_cdemo_sk": "(l_orderkey + l_suppkey + 35 * l_linenumber + l_linenumber % 2) % 1400", "wr_fee": _cents("l_extendedprice", 10000), "wr_refunded_cash": _cents("l_extendedprice", 60000)}),
     "item": ("part", {"i_item_sk": "p_partkey", "i_item_id": "concat('ITEM', lpad(cast(p_partkey as varchar(20)), 8, '0'))", "i_item_desc": "p_name", "i_category": "p_type", "i_class": "p_brand", "i_current_price": _cents("p_retailprice", 10000), "i_manufact_id": "p_partkey % 100"}),
     "customer": ("customer", {"c_customer_sk": "c_custkey", "c_customer_id": "c_name", "c_first_name": "case when c_custkey % 7 = 0 then null else concat('First', cast(c_custkey % 50 as varchar(20))) end", "c_last_name": "case when c_custkey % 11 = 0 then null else concat('Last', cast(c_custkey % 90 as varchar(20))) end", "c_current_cdemo_sk": "c_custkey % 1400", "c_current_hdemo_sk": "c_custkey % 40", "c_current_addr_sk": "c_custkey % 200", "c_birth_month": "cast(c_custkey % 12 + 1 as int)", "c_birth_year": "cast(1940 + c_custkey % 60 as int)"}),
-    "customer_address": ("range 200", {"ca_address_sk": "k", "ca_city": "concat('City ', cast(k % 20 as varchar(20)))", "ca_country": "'United States'", "ca_state": "case when k % 37 = 0 then null else split_part('PA,NE,SD,AL,IN,MO,NC,TX,NM', ',', cast(k % 9 + 1 as int)) end", "ca_county": "case when k % 23 = 0 then null else concat('County ', cast(k % 40 as varchar(20))) end"}),
+    "customer_address": ("range 200", {"ca_address_sk": "k", "ca_city": "concat('City ', cast(k % 20 as varchar(20)))", "ca_country": "'United States'", "ca_state": "case when k % 37 = 0 then null else split_part('CA,OR,WA,NV,AZ,UT,CO,NM,TX', ',', cast(k % 9 + 1 as int)) end", "ca_county": "case when k % 23 = 0 then null else concat('County ', cast(k % 40 as varchar(20))) end"}),
     "customer_demographics": ("range 1400", {"cd_demo_sk": "k", "cd_marital_status": "split_part('M,S,D,W,U', ',', cast(k % 5 + 1 as int))", "cd_education_status": "split_part('2 yr Degree,4 yr Degree,Advanced Degree,College,Primary,Secondary,Unknown', ',', cast(k % 7 + 1 as int))", "cd_gender": "case when k % 3 = 0 then 'M' else 'F' end", "cd_dep_count": "cast(k % 4 as int)"}),
     "household_demographics": ("range 40", {"hd_demo_sk": "k", "hd_dep_count": "cast(k % 4 as int)", "hd_income_band_sk": "k % 20"}),
     "income_band": ("range 20", {"ib_income_band_sk": "k", "ib_lower_bound": "cast(k * 10000 as int)", "ib_upper_bound": "cast((k + 1) * 10000 as int)"}),

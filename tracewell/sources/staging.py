@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Staged tables that are made once and read by many queries, by application and source.
+memo: dict[tuple[str, str], DataFrame] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,6 +28,7 @@ def application_dir(spark: SparkSession) -> str:
 
 def clear_stages(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application. DataFrames that read them cannot be run any more."""
+    memo.clear()
     path = spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.sources.annotate import number_rows
 from tracewell.sources.schemas import PREFIXES
+from tracewell.sources.staging import memo
 
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 DAY0 = "date '1990-01-01'"
@@ -50,16 +51,13 @@ _DERIVED: dict[str, tuple[str, dict[str, str]]] = {
 _KEYS = {"item": "p_partkey", "customer": "c_custkey"}
 DAYS = 4500  # from DAY0 to the spring of 2002
 
-_lines: dict[tuple[str, str], DataFrame] = {}
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem, numbered over all columns, with date and customer of its order; made once per application and folder."""
     at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _lines:
-        _lines[at] = number_rows(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE), LINE, "number")
+    if at not in memo:
+        memo[at] = number_rows(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE), LINE, "number")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
-    joined = _lines[at].join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = memo[at].join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     day = lambda c: F.datediff(F.col(c).cast("date"), F.expr(DAY0)).cast("int")
     return joined.withColumn("order_day", day("o_orderdate")).withColumn("ship_day", day("l_shipdate"))
 

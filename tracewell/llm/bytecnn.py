@@ -8,6 +8,7 @@ responses into one probability.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -127,12 +128,14 @@ class ByteCnn:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 6000, max_bytes: int = 24 << 20) -> ByteCnn:
-    """Fit on a bounded sample: of the labelled documents, the first in the order of a hash of doc_id, max_rows rows of labels
-    and max_bytes of whole texts at most. Rows with a null id, label or text are not learned from."""
+    """Fit on a bounded sample: of the labelled documents, in the order of a hash of doc_id, max_rows rows and max_bytes of whole
+    texts at most, texts that do not fit passed over; one of each label at least, whatever its size (see bounded_rows). Rows with
+    a null id, label or text are not learned from."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("__label"))
-    picked = known.withColumn("__rank", F.xxhash64(F.lit(1), F.col("doc_id"))).orderBy("__rank", "doc_id").limit(max_rows).drop("__rank")
-    # at most max_rows narrow rows: broadcast
-    rows = bounded_rows(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id"), max_rows, max_bytes)
+    order = F.xxhash64(F.lit(1), F.col("doc_id"))
+    picked = reduce(DataFrame.union, [known.where(F.col("__label") == y).withColumn("__rank", order).orderBy("__rank", "doc_id").limit(max_rows).drop("__rank") for y in (0, 1)])
+    # at most max_rows narrow rows a label: broadcast
+    rows = bounded_rows(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id"), max_rows, max_bytes, each="__label", values=(0, 1))
     return ByteCnn().fit([r["text"].encode("utf-8") for r in rows], np.array([r["__label"] for r in rows], dtype=np.float32))
 
 

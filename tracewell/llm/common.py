@@ -94,14 +94,30 @@ def hashed_below(column: str, share: float, seed: int):
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40))
 
 
-def bounded_rows(rows: DataFrame, max_rows: int, max_bytes: int, key: str = "doc_id", text: str = "text", seed: int = 1) -> list:
-    """Rows to train on, at the driver: those first in the order of a hash of their key, within max_rows and max_bytes of text."""
-    staged = stage(rows.withColumn("__order", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__bytes", F.coalesce(F.octet_length(text), F.lit(0))).orderBy("__order", key).limit(max_rows), "sample")
-    sizes = sorted((r["__order"], r["__bytes"]) for r in staged.select("__order", "__bytes").collect())
-    used, last = 0, None
-    for order, size in sizes:
-        used += size
-        if used > max_bytes:
-            break
-        last = order
-    return [] if last is None else staged.where(F.col("__order") <= last).orderBy("__order", key, text).collect()
+def bounded_rows(rows: DataFrame, max_rows: int, max_bytes: int, key: str = "doc_id", text: str = "text", seed: int = 1, each: str | None = None, values: tuple = (None,)) -> list:
+    """Rows to train on, at the driver: in the order of a hash of their key, max_rows at most, each that still fits into max_bytes of
+    text; a row that does not is passed over.
+
+    Of each of the `values` of column `each` (of all rows, where there is no such column) one whole row is among them, even beyond
+    the bounds: the first that fits into max_bytes by itself, else the shortest."""
+    value = F.lit(None).cast("int") if each is None else F.col(each)
+    ranked = rows.withColumn("__order", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__bytes", F.coalesce(F.octet_length(text), F.lit(0))).withColumn("__each", value)
+    fits = F.col("__bytes") <= max_bytes
+    staged = stage(ranked.where(fits).orderBy("__order", key, text).limit(max_rows).withColumn("__row", F.monotonically_increasing_id()), "sample")
+    sizes = sorted((r["__order"], r["__row"], r["__bytes"], r["__each"]) for r in staged.select("__order", "__row", "__bytes", "__each").collect())
+    chosen: dict[int, int] = {}
+    found = set()
+    for _, row, size, one in sizes:
+        if one in values and one not in found:
+            found.add(one)
+            chosen[row] = size
+    used = sum(chosen.values())
+    for _, row, size, _ in sizes:
+        if row not in chosen and used + size <= max_bytes:
+            chosen[row] = size
+            used += size
+    out = staged.where(f"__row in ({', '.join(map(str, chosen))})").orderBy("__order", key, text).collect() if chosen else []
+    for one in values:
+        if one not in found:
+            out += ranked.where(F.col("__each").eqNullSafe(F.lit(one))).orderBy(~fits, F.when(~fits, F.col("__bytes")), "__order", key, text).limit(1).drop("__each").collect()
+    return out

@@ -160,8 +160,9 @@ class Scorer:
 
 
 def train(docs: DataFrame, max_docs: int = 600, max_bytes: int = 4 << 20, max_languages: int = 200) -> Unigrams:
-    """Learn from a bounded sample: per language the first max_docs documents in the order of a hash of doc_id, within max_bytes
-    of whole texts. Rows with a null language or text are not learned from; more than max_languages languages are an error."""
+    """Learn from a bounded sample: per language documents in the order of a hash of doc_id, max_docs and max_bytes of whole texts at
+    most, texts that do not fit passed over; one at least, whatever its size (see bounded_rows). Rows with a null language or
+    without a letter are not learned from; more than max_languages languages are an error."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
     if len(sizes) > max_languages:
@@ -175,7 +176,7 @@ def train(docs: DataFrame, max_docs: int = 600, max_bytes: int = 4 << 20, max_la
     staged = stage(known.where(chosen), "langs")  # about 1.3 * max_docs rows a language
     for lang in sorted(sizes):
         counts[lang] = Counter()
-        for r in bounded_rows(staged.where(F.col("lang") == lang), max_docs, max_bytes, seed=2):
+        for r in bounded_rows(staged.where((F.col("lang") == lang) & F.col("text").rlike(r"\p{L}")), max_docs, max_bytes, seed=2):
             for token, n in Counter(r["text"].lower().split()).items():
                 for run in letter_runs(token):
                     counts[lang][run] += n

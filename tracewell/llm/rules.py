@@ -34,6 +34,8 @@ BASE = ("few_words", "repeated_windows")
 POLICIES: dict[str, tuple[str, ...]] = {
     "base-1": BASE,
     "strict-1": tuple(RULES),
+    # no upper bound on length: many_words stays a measurement of the ledger
+    "strict-2": tuple(r for r in RULES if r != "many_words"),
 }
 
 
@@ -119,7 +121,7 @@ def ablation(book: DataFrame, policy: str) -> DataFrame:
     return wide.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(bit(r)).alias("bit"), F.col(f"fail_{r}").alias("failed"), F.col(f"only_{r}").alias("failed_alone"), F.col(f"kept_{r}").alias("kept_without")) for r in rules])))
 
 
-def quality_rules(docs: DataFrame, policy: str = "strict-1", keep_text: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, policy: str = "strict-2", keep_text: bool = False) -> DataFrame:
     """The ledger of docs with base_failed and the policy's verdict."""
     book = apply_policy(ledger(docs, keep_text=keep_text), policy)
     base = F.col("rule_bits").bitwiseAND(F.lit(mask("base-1"))) != 0

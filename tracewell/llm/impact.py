@@ -6,6 +6,9 @@ descending impact, and each adds its lower bound to the accumulators of its memb
 accumulator, plus the widest segment and plus the impact that is left, of every dimension. Processing stops when at
 most `slack` rows can still be among the k best, which the k-th best lower bound proves, or when no segment is left;
 all rows that can be are rescored exactly.
+
+Vectors whose products might not fit 64 bits are in blocks of their own without an index. Where they meet others, all scores
+are computed as doubles with a bound of their error, and the rows that can be among the k best again with whole numbers.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import map_batches, resident, stage
 
 LEVELS = 32
-#: Scaled components beyond this are out of range: their products would not fit the integers.
+#: Vectors with scaled components from here on are wide: their scores might not fit 64-bit integers.
 LARGEST = 1 << 24
 #: Blocks of queries that one task reads against a block of vectors.
 AT_ONCE = 64
@@ -33,12 +36,42 @@ def quantise(vectors: list, scale: int) -> list[np.ndarray | None]:
         if v is None or any(x is None for x in v):
             out.append(None)
             continue
-        x = np.asarray(v, dtype=np.float64)
-        ok = np.isfinite(x).all() and (np.abs(x) * scale < LARGEST).all()
-        out.append(np.floor(scale * x).astype(np.int64) if ok else None)
+        x = np.floor(scale * np.asarray(v, dtype=np.float64))
+        ok = np.isfinite(x).all() and (x >= -(2.0**63)).all() and (x < 2.0**63).all()
+        out.append(x.astype(np.int64) if ok else None)
     return out
 
 
+def is_wide(x: np.ndarray) -> bool:
+    """True where a sum of products with a vector of the same kind, or the bounds of one, might leave 64 bits."""
+    most = max(int(x.max()), -int(x.min())) if len(x) else 0
+    return most >= LARGEST or most * most * len(x) >= 1 << 61
+
+
+def wide_top(vectors: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int, skips: list[int | None], strip: int = 1024) -> Iterator[tuple[list[int], list[int]]]:
+    """(rows, exact scores as Python integers) of the k best rows for each query, the row to skip left out, ties to the smaller id."""
+    n, dims = vectors.shape
+    about, slack = np.empty((len(queries), n)), np.empty((len(queries), n))
+    q = queries.astype(np.float64)
+    for a in range(0, n, strip):
+        part = vectors[a : a + strip].astype(np.float64).T
+        about[:, a : a + strip] = q @ part
+        slack[:, a : a + strip] = np.abs(q) @ np.abs(part)
+    slack *= (dims + 16) * 2.0**-51  # over four times what the rounding of the components, products and sums can add up to
+    for j, skip in enumerate(skips):
+        low, high = about[j] - slack[j], about[j] + slack[j]
+        if skip is not None:
+            low[skip] = high[skip] = -np.inf
+        can = np.flatnonzero(high >= np.partition(low, n - k)[n - k]) if n > k else np.arange(n)
+        query, found = queries[j].astype(object), []
+        for a in range(0, len(can), strip):
+            rows = can[a : a + strip]
+            scores = (vectors[rows].astype(object) * query).sum(axis=1)
+            found += [(-int(score), int(ids[row]), int(row)) for row, score in zip(rows.tolist(), scores) if row != skip]
+            found = sorted(found)[:k]
+        yield [row for *_, row in found], [-score for score, *_ in found]
+
+
 class BlockIndex:
     """Segments of one block: per dimension, members by quantised value."""
 
@@ -104,32 +137,43 @@ class BlockIndex:
         return rows, self.vectors[rows] @ query
 
 
+def sort_key(score: int) -> bytes:
+    """Bytes in the order of the scores, of any size that products of 64-bit components can add up to."""
+    return (score + (1 << 191)).to_bytes(24, "big")
+
+
+def kind_of(wide: bool) -> str:
+    return "<i8" if wide else "<i4"
+
+
 def vector_blocks(vectors: DataFrame, scale: int = 1024, rows_per_block: int = 16384, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """One row per block: block, dims, n, ids and the vectors as 32-bit integers; vectors that take no part are left out."""
+    """One row per block: block, dims, n, ids and wide and the vectors as 32-bit integers (wide ones as 64-bit); vectors that take no part are left out."""
     source = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     total = source.count()
     parts = max(1, -(-total // rows_per_block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, bool], tuple[list, list]] = {}
 
-        def block(dims: int) -> pa.RecordBatch:
-            ids, rows = held.pop(dims)
-            return pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [np.array(ids, "<i8").tobytes()], "rows": [np.array(rows, "<i4").reshape(len(ids), dims).tobytes()]})
+        def block(kind: tuple[int, bool]) -> pa.RecordBatch:
+            ids, rows = held.pop(kind)
+            dims, wide = kind
+            return pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "wide": [wide], "n": pa.array([len(ids)], pa.int32()), "ids": [np.array(ids, "<i8").tobytes()], "rows": [np.array(rows, kind_of(wide)).reshape(len(ids), dims).tobytes()]})
 
         for batch in batches:
             for vec_id, v in zip(batch.column("vec_id").to_pylist(), quantise(batch.column("v").to_pylist(), scale)):
                 if v is None:
                     continue
-                ids, rows = held.setdefault(len(v), ([], []))
+                kind = len(v), is_wide(v)
+                ids, rows = held.setdefault(kind, ([], []))
                 ids.append(vec_id)
                 rows.append(v)
                 if len(ids) == rows_per_block:
-                    yield block(len(v))
-        for dims in list(held):
-            yield block(dims)
+                    yield block(kind)
+        for kind in list(held):
+            yield block(kind)
 
-    packed = map_batches(source.repartition(parts), run, "dims int, n int, ids binary, rows binary")
+    packed = map_batches(source.repartition(parts), run, "dims int, wide boolean, n int, ids binary, rows binary")
     return stage(packed.withColumn("block", F.monotonically_increasing_id()), "vectors")
 
 
@@ -137,7 +181,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     """Per query row (vec_id divisible by `every`) its k highest inner products with all other rows: query_id, rank, vec_id, score.
 
     Ties go to the smaller vec_id. Defined results: vectors that are null, hold null or non-finite components, or have scaled
-    components of 2**24 and beyond take no part, nor do rows without vec_id; vectors of different lengths are not compared;
+    components that do not fit a bigint take no part, nor do rows without vec_id; a score that does not fit a bigint is null,
+    its rank right all the same; vectors of different lengths are not compared;
     rows that share a vec_id are rows of their own (a query leaves out its own row alone), and each such query row is
     ranked for itself; other columns are not read.
     """
@@ -145,14 +190,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, dims, n, ids, rows in zip(*(batch.column(c).to_pylist() for c in ("block", "dims", "n", "ids", "rows"))):
-                ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i4").reshape(n, dims)
+            for block, dims, wide, n, ids, rows in zip(*(batch.column(c).to_pylist() for c in ("block", "dims", "wide", "n", "ids", "rows"))):
+                ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, kind_of(wide)).reshape(n, dims)
                 at = np.flatnonzero(ids % every == 0)
                 for a in range(0, len(at), queries_per_block):
                     p = at[a : a + queries_per_block]
-                    yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "own": pa.array([block], pa.int64()), "nq": pa.array([len(p)], pa.int32()), "at": [p.astype("<i8").tobytes()], "query_ids": [ids[p].tobytes()], "queries": [rows[p].tobytes()]})
+                    yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "wide": [wide], "own": pa.array([block], pa.int64()), "nq": pa.array([len(p)], pa.int32()), "at": [p.astype("<i8").tobytes()], "query_ids": [ids[p].tobytes()], "queries": [rows[p].tobytes()]})
 
-    asked = map_batches(blocks, pick, "dims int, own long, nq int, at binary, query_ids binary, queries binary")
+    asked = map_batches(blocks, pick, "dims int, wide boolean, own long, nq int, at binary, query_ids binary, queries binary")
     # every block of queries meets every block of vectors of its length once. A block of vectors is sent to as many tasks as its
     # queries are dealt over: to keep all tasks busy, and to hold AT_ONCE blocks of queries a task at most
     asked = stage(asked, "queries")
@@ -161,27 +206,33 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     salts = max(1, min(n_asked, max(-(-n_asked // AT_ONCE), -(-parts // n_blocks))))
     listed = blocks.groupBy("dims").agg(F.collect_list("block").alias("blocks"))
     salted = F.pmod(F.xxhash64("own", "at"), F.lit(salts)).cast("int")
-    questions = asked.join(listed, "dims").withColumn("block", F.explode("blocks")).select("block", salted.alias("salt"), F.lit(1).alias("kind"), "dims", F.col("nq").alias("n"), F.col("query_ids").alias("ids"), F.col("queries").alias("rows"), "own", "at")
-    indexed = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("block", "salt", F.lit(0).alias("kind"), "dims", "n", "ids", "rows", F.lit(None).cast("long").alias("own"), F.lit(None).cast("binary").alias("at"))
+    questions = asked.join(listed, "dims").withColumn("block", F.explode("blocks")).select("block", salted.alias("salt"), F.lit(1).alias("kind"), "dims", "wide", F.col("nq").alias("n"), F.col("query_ids").alias("ids"), F.col("queries").alias("rows"), "own", "at")
+    indexed = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("block", "salt", F.lit(0).alias("kind"), "dims", "wide", "n", "ids", "rows", F.lit(None).cast("long").alias("own"), F.lit(None).cast("binary").alias("at"))
     met = indexed.union(questions).repartition(parts, "block", "salt").sortWithinPartitions("block", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident(__name__)
-        index, candidates = None, None
+        index, candidates, vectors, held_wide = None, None, None, False
         for batch in batches:
-            for block, kind, dims, n, ids, rows, own, at in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "dims", "n", "ids", "rows", "own", "at"))):
-                ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i4").reshape(n, dims).astype(np.int64)
+            for kind, dims, wide, n, ids, rows, own, at, block in zip(*(batch.column(c).to_pylist() for c in ("kind", "dims", "wide", "n", "ids", "rows", "own", "at", "block"))):
+                ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, kind_of(wide)).reshape(n, dims).astype(np.int64)
                 if kind == 0:
-                    index, candidates = (BlockIndex(rows) if n else None), ids
+                    index, vectors, candidates, held_wide = (BlockIndex(rows) if n and not wide else None), rows, ids, wide
                     continue
-                found = []
-                for p, query_id, q in zip(np.frombuffer(at, "<i8").tolist(), ids.tolist(), rows):
-                    members, scores = index.top(q, k, p if own == block else None)
-                    best = np.lexsort((candidates[members], -scores))[:k]
-                    found.append((np.full(len(best), query_id), np.full(len(best), own), np.full(len(best), p), candidates[members[best]], scores[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)], names=["query_id", "own", "p", "vec_id", "score"])
-
-    near = map_batches(met, run, "query_id long, own long, p long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "own", "p").orderBy(F.desc("score"), "vec_id")
+                found, places = [], np.frombuffer(at, "<i8").tolist()
+                if wide or held_wide:
+                    best = wide_top(vectors, rows, candidates, k, [p if own == block else None for p in places])
+                    for p, query_id, (members, scores) in zip(places, ids.tolist(), best):
+                        found += [(query_id, own, p, int(candidates[m]), score if -(1 << 63) <= score < 1 << 63 else None, sort_key(score)) for m, score in zip(members, scores)]
+                else:
+                    for p, query_id, q in zip(places, ids.tolist(), rows):
+                        members, scores = index.top(q, k, p if own == block else None)
+                        best = np.lexsort((candidates[members], -scores))[:k]
+                        found += [(query_id, own, p, vec_id, score, sort_key(score)) for vec_id, score in zip(candidates[members[best]].tolist(), scores[best].tolist())]
+                columns = zip(*found) if found else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, [pa.int64()] * 5 + [pa.binary()])], names=["query_id", "own", "p", "vec_id", "score", "key"])
+
+    near = map_batches(met, run, "query_id long, own long, p long, vec_id long, score long, key binary")
+    order = Window.partitionBy("query_id", "own", "p").orderBy(F.desc("key"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

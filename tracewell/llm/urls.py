@@ -15,23 +15,48 @@ from tracewell.llm.common import map_batches
 
 #: Fixed labelled table (1: block). Host and path are put together from these parts, see training_table().
 BAD_PARTS = ("adult-x", "adult", "xxx", "porn-tube", "casino", "casino-win", "bet-now", "poker-online", "cheap-pills", "pills-rx", "viagra-shop", "free-money", "loan-fast", "win-prize", "hot-dates", "sexcam", "crack-serial", "warez", "replica-watch", "spam-links", "click-bait", "adserver", "ads-tracker", "free-spins", "betting-odds")
-GOOD_PARTS = ("news", "wiki", "library", "science", "docs", "blog", "museum", "school", "university", "recipes", "garden", "travel", "history", "weather", "forum", "shop", "music", "sports", "health", "books", "maps", "tionther", "ththre", "ererthan", "ingonst", "thwhand")
+GOOD_PARTS = ("news", "wiki", "library", "science", "docs", "blog", "museum", "school", "university", "recipes", "garden", "travel", "history", "weather", "forum", "shop", "music", "sports", "health", "books", "maps")
 SITES = ("example.com", "example.net", "example.org")
 SUBDOMAINS = ("", "www.", "m.", "blog.")
 PATHS = ("/", "/en/12345.html", "/fr/234?page=2", "/de/98765/", "/es/4321")
+#: Paths that a part stands in.
+PLACES = ("/{}/", "/{}", "/{}.html", "/en/{}/12345.html", "/a/{}/page")
+#: Hosts that say nothing: made-up words of these letters, put together in a fixed order.
+CONSONANTS, VOWELS, ENDS = "bcdfghjklmnpqrstvwz", "aeiou", ("", "", "n", "r", "l", "st", "m", "ck", "ph")
+
 
 RULES: tuple[tuple[str, str], ...] = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
+def neutral_hosts(n: int) -> list[str]:
+    r = np.random.default_rng(11)
+    return ["".join(CONSONANTS[r.integers(len(CONSONANTS))] + VOWELS[r.integers(len(VOWELS))] + ENDS[r.integers(len(ENDS))] for _ in range(r.integers(2, 5))) for _ in range(n)]
+
+
 def training_table() -> list[tuple[str, str, int]]:
-    """(host, path, label): every part with every site; subdomain and path take turns, so that they carry no label."""
+    """(host, path, label): every part as a host with every site and, on neutral hosts, in every place of a path; subdomains, neutral
+    paths and neutral hosts take turns, so that they carry no label. Neutral hosts with neutral or made-up paths are good, bad hosts with them are bad."""
     rows = []
     for label, parts in ((1, BAD_PARTS), (0, GOOD_PARTS)):
-        for part in parts:
+        hosts = neutral_hosts(len(parts) * len(PLACES))
+        for i, part in enumerate(parts):
             for site in SITES:
                 for sub in SUBDOMAINS:
                     for path in PATHS:
                         rows.append((f"{sub}{part}.{site}", path.split("?")[0], label))
+            for j, place in enumerate(PLACES):
+                for site in SITES:
+                    for sub in SUBDOMAINS:
+                        rows.append((f"{sub}{hosts[i * len(PLACES) + j]}.{site}", place.format(part), label))
+    words = neutral_hosts(2 * len(BAD_PARTS) * len(PLACES))
+    for i, host in enumerate(words):
+        for k, path in enumerate(PATHS):
+            rows.append((f"{SUBDOMAINS[k % len(SUBDOMAINS)]}{host}.{SITES[k % len(SITES)]}", path.split("?")[0], 0))
+        for k, place in enumerate(PLACES):
+            rows.append((f"{SUBDOMAINS[k % len(SUBDOMAINS)]}{host}.{SITES[k % len(SITES)]}", place.format(words[i - 7 - k]), 0))
+    for i, part in enumerate(BAD_PARTS):
+        for k, place in enumerate(PLACES):
+            rows.append((f"{SUBDOMAINS[k % len(SUBDOMAINS)]}{part}.{SITES[k % len(SITES)]}", place.format(words[i * len(PLACES) + k]), 1))
     return rows
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.sources.staging import application_dir, stage
 
-__all__ = ["bounded_rows", "crc_mod", "hashed_below", "in_id_order", "map_batches", "new_path", "resident", "running_base", "stage", "table", "text_slices", "utf8_parts"]
+__all__ = ["bounded_rows", "crc_mod", "hashed_below", "in_id_order", "map_batches", "new_path", "resident", "running_base", "stage", "table", "text_slices", "unused", "utf8_parts"]
 
 _resident: dict = {}
 
@@ -36,6 +36,14 @@ def map_batches(df: DataFrame, function, schema: str, most: str = "4m") -> DataF
     return df.mapInArrow(function, schema)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """name, with underscores before it until none of the columns bears it; case does not tell columns apart."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -101,23 +109,34 @@ def bounded_rows(rows: DataFrame, max_rows: int, max_bytes: int, key: str = "doc
     Of each of the `values` of column `each` (of all rows, where there is no such column) one whole row is among them, even beyond
     the bounds: the first that fits into max_bytes by itself, else the shortest."""
     value = F.lit(None).cast("int") if each is None else F.col(each)
-    ranked = rows.withColumn("__order", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__bytes", F.coalesce(F.octet_length(text), F.lit(0))).withColumn("__each", value)
-    fits = F.col("__bytes") <= max_bytes
-    staged = stage(ranked.where(fits).orderBy("__order", key, text).limit(max_rows).withColumn("__row", F.monotonically_increasing_id()), "sample")
-    sizes = sorted((r["__order"], r["__row"], r["__bytes"], r["__each"]) for r in staged.select("__order", "__row", "__bytes", "__each").collect())
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    # rows are ranked and chosen by what is narrow; texts are read for the chosen ones alone
+    facts = rows.select(F.xxhash64(F.lit(seed), F.col(key)).alias("order"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), size.alias("size"), value.alias("each"))
+    order, fits = ["order", "key", "mark"], F.col("size") <= max_bytes
+    ranked = facts.where(fits).orderBy(*order).limit(max_rows).collect()
     chosen: dict[int, int] = {}
     found = set()
-    for _, row, size, one in sizes:
-        if one in values and one not in found:
-            found.add(one)
-            chosen[row] = size
+    for at, r in enumerate(ranked):
+        if r["each"] in values and r["each"] not in found:
+            found.add(r["each"])
+            chosen[at] = r["size"]
     used = sum(chosen.values())
-    for _, row, size, _ in sizes:
-        if row not in chosen and used + size <= max_bytes:
-            chosen[row] = size
-            used += size
-    out = staged.where(f"__row in ({', '.join(map(str, chosen))})").orderBy("__order", key, text).collect() if chosen else []
+    for at, r in enumerate(ranked):
+        if at not in chosen and used + r["size"] <= max_bytes:
+            chosen[at] = r["size"]
+            used += r["size"]
+    wanted = [ranked[at] for at in sorted(chosen)]
     for one in values:
         if one not in found:
-            out += ranked.where(F.col("__each").eqNullSafe(F.lit(one))).orderBy(~fits, F.when(~fits, F.col("__bytes")), "__order", key, text).limit(1).drop("__each").collect()
-    return out
+            wanted += facts.where(F.col("each").eqNullSafe(F.lit(one))).orderBy(~fits, F.when(~fits, F.col("size")), *order).limit(1).collect()
+    if not wanted:
+        return []
+    spark = rows.sparkSession
+    o, m = unused(rows.columns, "__order"), unused(rows.columns, "__mark")
+    # as many rows as are wanted at most, of 16 bytes
+    list_ = F.broadcast(spark.createDataFrame(sorted({(r["order"], r["mark"]) for r in wanted}), f"`{o}` long, `{m}` long"))
+    marked = rows.withColumn(o, F.xxhash64(F.lit(seed), F.col(key))).withColumn(m, F.xxhash64(F.col(text)))
+    # equal rows are read once, so that what comes to the driver is what was chosen
+    one_each = marked.join(list_, [o, m]).groupBy(o, m, key, *([] if each is None else [each])).agg(F.first(text).alias(text)).collect()
+    texts = {(r[o], r[key], r[m], None if each is None else r[each]): r for r in one_each}
+    return [texts[(r["order"], r["key"], r["mark"], r["each"])] for r in wanted]

@@ -71,7 +71,7 @@ class ByteCnn:
             end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + most, side="right")) - 1)
             a, b = int(offsets[k]), int(offsets[end])
             if end == k + 1 and b - a > most:
-                starts = range(a, b - HOP if (b - a) % HOP == 0 else b, most)
+                starts = range(a, b - HOP, most)  # the last HOP bytes start no chunk of their own
                 pooled[k] = np.max([self._pool(data[s : min(b, s + most + HOP)], np.array([0, min(b, s + most + HOP) - s])) for s in starts], axis=0)[0]
             else:
                 pooled[k:end] = self._pool(data[a:b], offsets[k : end + 1] - a)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_batches, resident, text_slices
+from tracewell.llm.common import map_batches, resident, text_slices, unused
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -52,10 +52,14 @@ def count_repeats(words: list[bytes], window: int = 3) -> int:
     n = len(words)
     if n <= window:
         return 0
-    h = np.fromiter(map(hash, words), dtype=np.int64, count=n).view(np.uint64)
-    grams = np.zeros(n - window + 1, dtype=np.uint64)
-    for k in range(window):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + (h[k : n - window + 1 + k] ^ (h[k : n - window + 1 + k] >> np.uint64(29)))
+    numbers: dict[bytes, int] = {}
+    for w in words:
+        numbers.setdefault(w, len(numbers))
+    h = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=n)
+    # a window is numbered by the number of its first words and that of its next word: equal numbers are equal windows
+    grams = h
+    for k in range(1, window):
+        grams = np.unique(grams[:-1] * len(numbers) + h[k:], return_inverse=True)[1] if k < window - 1 else grams[:-1] * len(numbers) + h[k:]
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
     same = ranked[1:] == ranked[:-1]
@@ -87,20 +91,21 @@ def ledger(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Data
     defines, in which case the ledger's value stands.
     """
     carried = [c for c in docs.columns if c != text and c not in MEASURES and c != "rule_bits"]
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
+    held = unused([*carried, *MEASURES], "__text")
+    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident(__name__)
-        for batch in text_slices(batches, "__text"):
-            rows = np.array([measure(x) for x in batch.column("__text").to_pylist()], dtype=np.int64).reshape(-1, len(MEASURES))
+        for batch in text_slices(batches, held):
+            rows = np.array([measure(x) for x in batch.column(held).to_pylist()], dtype=np.int64).reshape(-1, len(MEASURES))
             columns = [batch.column(c) for c in passed] + [pa.array(rows[:, k]) for k in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays(columns, names=[*passed, *MEASURES])
 
-    passed = [*carried, "__text"] if keep_text else carried
+    passed = [*carried, held] if keep_text else carried
     schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in source.schema if c.name in passed), *(f"{m} long" for m in MEASURES)])
     measured = map_batches(source, run, schema)
     if keep_text:
-        measured = measured.withColumnRenamed("__text", text)
+        measured = measured.withColumnRenamed(held, text)
     bits = sum((F.when(F.expr(p), bit(r)).otherwise(0) for r, p in RULES.items()), F.lit(0))
     return measured.withColumn("rule_bits", bits.cast("long"))
 

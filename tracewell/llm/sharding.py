@@ -1,8 +1,8 @@
 """K-d tree sharding: split at distributed weighted medians along the widest metadata dimension until leaves are small enough.
 
 Only DataFrame operations run on the executors. Rows are first gathered into units: rows of equal text are one unit, so
-copies stay together, unless the unit is too heavy for that; then its rows are dealt over several units by position
-(heavy units are split, never dropped). The driver holds one histogram of the current level, bounded by leaves times
+copies stay together in one shard. Only a group that is heavier than a shard's share cannot; its rows are dealt over several
+units (such groups are split, never dropped). The driver holds one histogram of the current level, bounded by leaves times
 bins, and the list of leaves.
 """
 
@@ -103,8 +103,9 @@ def deal(leaves: list[tuple[int, float]], shards: int) -> dict[int, int]:
 def kd_shards(docs: DataFrame, shards: int = 8, leaves_per_shard: int = 16, text: str = "text") -> DataFrame:
     """Per row: doc_id, size, text_crc32, law (`bytes`), shard, slot and grown_shard (null: the law is not `key`).
 
-    size is the UTF-8 bytes of the text plus one, 1 for null. Leaves hold total / (shards * leaves_per_shard) bytes at
-    most, save for single rows that are larger; they are dealt to the shards so that byte sums are near equal.
+    size is the UTF-8 bytes of the text plus one, 1 for null. Rows of equal text are in one shard unless together they are over
+    total / shards bytes. Leaves hold total / (shards * leaves_per_shard) bytes at
+    most, save for single groups that are larger; they are dealt to the shards so that byte sums are near equal.
     Dimensions: doc_id, size, and hashes of language and source. Slots count the rows of a shard from 0.
     Defined results: null ids, languages and sources are points of their own; repeated rows get a row and a slot each;
     other columns are not read; an empty table gives no rows.
@@ -129,11 +130,11 @@ def kd_shards(docs: DataFrame, shards: int = 8, leaves_per_shard: int = 16, text
     if total is None:
         return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
     target = total / (shards * leaves_per_shard)
-    # heavy units are dealt by a hash of the row: a unit of n parts has rows of about target / 4 bytes in each
+    # a group heavier than a shard's share is dealt by a hash of the row: of n parts, each has rows of about target / 4 bytes
     units = rows.groupBy("text_key").agg(F.sum("size").alias("whole"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("whole") / F.lit(target / 4))).cast("int")
-    heavy = stage(units.where(F.col("whole") > target / 2).select("text_key", parts.alias("parts")), "kd-heavy")
-    # at most 2 * total / target units are that heavy
+    heavy = stage(units.where(F.col("whole") > total / shards).select("text_key", parts.alias("parts")), "kd-heavy")
+    # fewer than `shards` groups are that heavy
     rows = rows.join(F.broadcast(heavy), "text_key", "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.col("doc_id"), F.spark_partition_id(), F.monotonically_increasing_id()), F.col("parts"))).otherwise(0).cast("int"))
     rows = stage(rows.drop("parts"), "kd-parts")
     points = rows.groupBy("text_key", "part").agg(F.sum("size").alias("weight"), F.min("d_id").alias("d_id"), F.log2(F.max("size")).alias("d_size"), F.min("d_lang").alias("d_lang"), F.min("d_source").alias("d_source"), (F.xxhash64("text_key", "part") / F.lit(2.0**63)).alias("d_key"))

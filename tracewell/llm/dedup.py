@@ -5,22 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import stage
+from tracewell.llm.common import stage, unused
 from tracewell.llm.jaccard import jaccard_components
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stand for their group: the least doc_id of each component of linked documents.
+    """The rows of docs that stand for their group of linked documents: the one of the least doc_id.
 
-    Defined results: rows with a null doc_id stay, as they link with nothing; of rows that share a doc_id one stays, the first by
-    text; all columns are kept, whatever their names.
+    Every row is a document of its own, also where rows share a doc_id or have none: these take part under numbers beyond
+    the ids, so a row with an id of its own stays before them. Defined results: rows without a shingle link with nothing and stay;
+    of equal rows with a shingle one stays; all columns are kept, whatever their names and types.
     """
-    groups = stage(jaccard_components(docs, k, percent).select(F.col("doc_id").alias("__id"), "component_id").distinct(), "groups")
-    losers = groups.where("__id <> component_id").select("__id")
-    left = docs.join(losers, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    twice = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("doc_id is not null and __n > 1").select(F.col("doc_id").alias("__id"))
-    if twice.isEmpty():
-        return left
-    again = left.join(twice, F.col("doc_id") == F.col("__id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text"), *[F.col(f"`{c}`") for c in left.columns if c not in ("doc_id", "text")])).alias("__row"))
-    once = left.join(twice, F.col("doc_id") == F.col("__id"), "left_anti")
-    return once.unionByName(again.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in left.columns]))
+    node, lost = unused(docs.columns, "__node"), unused(docs.columns, "__lost")
+    rows = docs.withColumn(node, F.col("doc_id").cast("long"))
+    shared = stage(rows.groupBy(node).agg(F.count(F.lit(1)).alias(lost)).where((F.col(lost) > 1) | F.col(node).isNull()).drop(lost), "shared-ids")
+    if not shared.isEmpty():
+        low, high = rows.agg(F.min(node), F.max(node)).first()
+        same = rows[node].eqNullSafe(shared[node])
+        room = 1 << 62  # numbers that monotonically_increasing_id may take
+        if (high or 0) < room:
+            first, step = max(high or 0, 0) + 1, 1
+        elif low > -room:
+            first, step = min(low, 0) - 1, -1
+        else:
+            first = None
+        numbered = lambda df: stage(df.withColumn(node, F.monotonically_increasing_id() * F.lit(step) + F.lit(first)), "numbered-rows")
+        if first is None:
+            rows, first, step = docs, 0, 1
+            rows = numbered(rows)
+        else:
+            rows = rows.join(shared, same, "left_anti").unionByName(numbered(rows.join(shared, same, "left_semi")))
+    groups = jaccard_components(rows.select(F.col(node).alias("doc_id"), "text"), k, percent)
+    losers = stage(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(lost)), "losers")
+    return rows.join(losers, F.col(f"`{node}`") == F.col(f"`{lost}`"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,6 +6,8 @@ Parquet and read again as the next stage's docs. All but the last return the col
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import bytecnn
@@ -16,14 +18,21 @@ from tracewell.llm.queries import quality_model
 from tracewell.llm.rules import quality_rules
 
 
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], verdict: str) -> DataFrame:
+    """The rows of docs that pass the verdict, with their own columns, also those that bear a name of the operator's."""
+    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"column_{k}" for k, c in enumerate(docs.columns)])
+    return judge(plain).where(verdict).select(*plain.columns).toDF(*docs.columns)
+
+
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return bytecnn.classify(docs, quality_model(spark, sf_dir)).where("predicted = 1").select(*docs.columns)
+    model = quality_model(spark, sf_dir)
+    return _kept(docs, lambda df: bytecnn.classify(df, model), "predicted = 1")
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no quality rule."""
-    return quality_rules(docs, keep_text=True).where("kept").select(*docs.columns)
+    return _kept(docs, lambda df: quality_rules(df, keep_text=True), "kept")
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

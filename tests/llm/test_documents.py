@@ -267,7 +267,6 @@ def test_large_ids_and_families_take_the_other_way(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "MOST_IDS", 0)
     monkeypatch.setattr(jaccard, "LARGEST_FAMILY", 2)
     monkeypatch.setattr(jaccard, "HEAVY", 1)
-    monkeypatch.setattr(jaccard, "MIN_HASHES", 1)
     rows = copies(11)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
     assert got == brute_links(rows, 4, 85)

@@ -7,14 +7,15 @@ n-grams in the two prefixes, the overlap is c plus what is left behind the earli
 below the overlap that their sizes demand are dropped, and the others' whole sets are intersected.
 
 The order puts n-grams of many documents last, so passages that a large part of the corpus shares make no pairs of
-documents that are otherwise different. Large groups of near copies would still make all of their pairs; before the
-product, each document is held against the least document that shares one of a few min-hashes with it. Verified links
-label documents, and the product is made between documents of different labels alone. It misses no link between
-components: what it leaves out is connected already.
+documents that are otherwise different. Large groups of near copies would still make all of their pairs; so the product
+is made in two parts. First its rows for the leaders alone, the least document of each column: one row a posting, however many
+documents a column has. Documents that link with a leader get its label, and the second part is made between documents
+of different labels. It misses no link between components: what it leaves out is connected already.
 
 Columns that still hold many documents (groups of near copies that are not near enough to link) make no rows for their pairs
-either. Documents that share such columns form a family; a family is cut into tiles, each pair of tiles is one block of
-the product over whole sets, computed in one task, and the task returns a spanning forest of the links it found.
+either. Documents that share such columns form a family; a family is cut by size, as only sets of like sizes can link, and
+then into tiles; each pair of tiles is one block of the product over whole sets, computed in one task, which
+returns a spanning forest of the links it found.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import map_batches, stage, text_slices, utf8_parts
 from tracewell.llm.components import components
-from tracewell.llm.shingles import mix, shingle_sets
+from tracewell.llm.shingles import shingle_sets
 
 #: Common n-grams are looked for among those whose hash lies in this part of the range; prefixes hardly reach beyond it.
 REGION = 0.25
@@ -38,9 +39,8 @@ REGION = 0.25
 COMMON, MOST_COMMON = 64, 500_000
 #: Ids that a closure may carry (8 bytes each); beyond that many, texts are joined to ids by a shuffle.
 MOST_IDS = 1_000_000
-MIN_HASHES = 4
 #: Columns of more documents are multiplied by tiles; a tile has about TILE documents and TILE_GRAMS n-grams at most.
-HEAVY, TILE, TILE_GRAMS = 64, 512, 1_000_000
+HEAVY, TILE, TILE_GRAMS = 64, 1024, 2_000_000
 #: Families of more documents are not multiplied as a whole but column by column.
 LARGEST_FAMILY = 500_000
 
@@ -94,18 +94,16 @@ def _ranked(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def document_rows(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Per row: doc_id, n, signature of the set, prefix in the order of the join, and min-hashes."""
-    salts = np.array([0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF for i in range(MIN_HASHES)], dtype=np.uint64)
+    """Per row: doc_id, n, signature of the set, and prefix in the order of the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             sets = _sets(batch, k)
             signs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             heads = [_ranked(s, common)[: prefix_size(len(s), percent)] for s in sets]
-            mins = [np.array([mix(s ^ x).min() for x in salts]) if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, pa.binary()), _longs(heads), _longs(mins)], names=["doc_id", "n", "sign", "prefix", "mins"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, pa.binary()), _longs(heads)], names=["doc_id", "n", "sign", "prefix"])
 
-    return map_batches(docs, run, "doc_id long, n long, sign binary, prefix array<long>, mins array<long>")
+    return map_batches(docs, run, "doc_id long, n long, sign binary, prefix array<long>")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -213,40 +211,49 @@ def _heavy_links(docs: DataFrame, heavy: DataFrame, k: int, percent: int) -> Dat
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     placed = heavy.join(families.join(sizes, "component"), F.col("id") == F.col("node"))
     whole = F.col("m") <= LARGEST_FAMILY
-    members = stage(placed.select(whole.alias("family"), F.when(whole, F.col("component")).otherwise(F.col("gram")).alias("key"), "id", "n", "label").distinct(), "members")
-    tiles = members.groupBy("family", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    # sets of classes that are not neighbours differ too much in size to link
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.0001 * math.log(100 / percent))) if percent < 100 else F.col("n")
+    members = stage(placed.select(whole.alias("family"), F.when(whole, F.col("component")).otherwise(F.col("gram")).alias("key"), "id", "n", "label").distinct().withColumn("size", size_class.cast("long")), "members")
+    mixed = members.groupBy("family", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("family", "key")
+    tiles = members.join(mixed, ["family", "key"], "left_semi").groupBy("family", "key", "size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_GRAMS)).cast("int").alias("tiles"))
+    # the tiles that a class meets: its own, the next class's as the left side, the one before's as the right side
+    meets = tiles.select("family", "key", "size", "tiles", F.col("tiles").alias("others"), F.lit(0).alias("step"))
+    for step in (-1, 1):
+        meets = meets.union(tiles.join(tiles.select("family", "key", (F.col("size") - step).alias("size"), F.col("tiles").alias("others")), ["family", "key", "size"]).select("family", "key", "size", "tiles", "others", F.lit(step)))
     sets = stage(_whole_sets(docs, members.select("id").distinct(), k), "heavy-sets")
-    rows = members.join(tiles, ["family", "key"]).join(sets, "id").where(F.size("grams") == F.col("n"))
-    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("family", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "grams")
+    own, other, step = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"), F.col("other"), F.col("step")
+    rows = members.join(meets, ["family", "key", "size"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    i = F.when(step == 0, F.least("own", other)).when(step > 0, F.col("own")).otherwise(other)
+    j = F.when(step == 0, F.greatest("own", other)).when(step > 0, other).otherwise(F.col("own"))
+    side = F.when((step == 0) & (F.col("own") == other), 2).otherwise(F.when(step == 0, (F.col("own") > other).cast("int")).otherwise((step < 0).cast("int")))
+    block = [(F.col("size") + F.least(step, F.lit(0))).alias("low"), (step != 0).alias("across"), i.alias("i"), j.alias("j")]
+    at_block = ["family", "key", "low", "across", "i", "j"]
+    rows = rows.select("family", "key", *block, side.cast("int").alias("side"), "id", "n", "label").join(sets, "id").where(F.size("grams") == F.col("n")).drop("n")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "family", "key", "i", "j").sortWithinPartitions("family", "key", "i", "j", "id")
+    rows = rows.repartition(parts, *at_block).sortWithinPartitions(*at_block, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def links() -> pa.RecordBatch:
-            _, _, i, j = at
-            ids, labels = np.array([h[1] for h in held]), np.array([h[2] for h in held])
-            own = np.array([h[0] for h in held])
-            found = block_links([h[3] for h in held], np.flatnonzero(own == i), np.flatnonzero(own == j), percent)
+            sides, ids, labels = (np.array([h[c] for h in held]) for c in range(3))
+            found = block_links([h[3] for h in held], np.flatnonzero(sides != 1), np.flatnonzero(sides != 0), percent)
             a, b = found.T
-            found = found[(ids[a] < ids[b] if i == j else ids[a] != ids[b]) & (labels[a] != labels[b])]
+            found = found[((sides[a] != 2) | (ids[a] < ids[b])) & (labels[a] != labels[b])]
             pairs = np.array(forest(found, len(held)), dtype=np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]].astype(np.int64)), pa.array(ids[pairs[:, 1]].astype(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("family", "key", "i", "j")))
+            keys = zip(*(batch.column(c).to_pylist() for c in at_block))
             grams = batch.column("grams")
             offsets = grams.offsets.to_numpy()
             flat = grams.values.to_numpy().view(np.uint64)
-            for r, (key, own, doc_id, label) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in ("own", "id", "label")))):
+            for r, (key, side, doc_id, label) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in ("side", "id", "label")))):
                 if key != at:
                     if held:
                         yield links()
                     at, held = key, []
-                held.append((own, doc_id, label, flat[offsets[r] : offsets[r + 1]].copy()))
+                held.append((side, doc_id, label, flat[offsets[r] : offsets[r + 1]].copy()))
         if held:
             yield links()
 
@@ -265,35 +272,40 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = common_grams(docs, k)
     rows = stage(document_rows(docs, k, percent, common), "rows")
-    # rows of one set: the least id stands for all; equal sets have equal prefixes and min-hashes
+    # rows of one set: the least id stands for all; equal sets have equal prefixes
     real = rows.where("n > 0 and doc_id is not null")
-    sets = stage(real.groupBy("sign").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mins").alias("mins")), "sets")
+    sets = stage(real.groupBy("sign").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
     members = real.select("doc_id", "sign").join(sets.select("sign", "id"), "sign").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-
-    # 1. each document against the least that shares a min-hash
-    near = sets.select("id", "n", F.posexplode("mins").alias("h", "value"))
-    lead = near.groupBy("h", "value").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("held")).where("held > 1").select("h", "value", "lead")
-    stars = near.join(lead, ["h", "value"]).select(F.col("lead.id").alias("a"), F.col("lead.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     fit = (F.lit(percent) * F.greatest("na", "nb") <= F.lit(100) * F.least("na", "nb")) & (F.col("a") != F.col("b"))
-    first = _verified(docs, stage(stars.where(fit).distinct(), "stars"), k, percent, "stars")
+    # behind the prefix that ends first nothing is known; either may end first, so the larger rest, ceil(t n) - 1, is allowed for
+    rest = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
+
+    def summed(met: DataFrame) -> DataFrame:
+        """Pairs whose overlap counts over the columns, with what may follow, reach what their sizes demand."""
+        counts = met.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c"))
+        return counts.where(F.col("c") + rest >= _needed(percent, "na", "nb")).select("a", "na", "b", "nb")
+
+    # columns of two documents or more, each with its leader
+    postings = sets.select("id", "n", F.explode("prefix").alias("gram"))
+    columns = postings.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    block = stage(postings.join(columns, "gram"), "postings")
+
+    # 1. the rows of the product for the leaders
+    near = block.select(F.col("lead.id").alias("a"), F.col("lead.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")).where(fit)
+    first = _verified(docs, stage(summed(near), "leaders"), k, percent, "leaders")
     label = first.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
-    sets = sets.drop("mins").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    block = block.select("gram", "id", "n", "held").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
-    # 2. the blocked product, between labels
-    postings = sets.select("id", "n", "label", F.explode("prefix").alias("gram"))
-    shared = postings.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo <> hi").select("gram", "held")
-    block = stage(postings.join(shared, "gram"), "postings")
+    # 2. the rest of the blocked product, between labels
+    shared = block.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
+    block = stage(block.join(shared, "gram"), "labelled")
     third = _heavy_links(docs, block.where(F.col("held") > HEAVY).drop("held"), k, percent)
     # a pair that shares a heavy column is decided above; all columns of any other pair are light
     block = block.where(F.col("held") <= HEAVY)
     one = block.select(F.col("gram"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     two = block.select(F.col("gram"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     met = one.join(two, "gram").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & fit)
-    counts = met.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c"))
-    # behind the prefix that ends first nothing is known; either may end first, so the larger rest, ceil(t n) - 1, is allowed for
-    rest = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100)) - 1
-    likely = counts.where(F.col("c") + rest >= _needed(percent, "na", "nb")).select("a", "na", "b", "nb")
-    second = _verified(docs, stage(likely, "likely"), k, percent, "likely")
+    second = _verified(docs, stage(summed(met), "likely"), k, percent, "likely")
 
     links = members.union(first).union(second)
     nodes = components(links if third is None else links.union(third))

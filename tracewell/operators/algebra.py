@@ -52,18 +52,30 @@ class Relation:
         """One row; over no rows the bag is null, as an SQL list aggregate is."""
         return self.df.agg(*values, F.when(F.count(F.lit(1)) > 0, F.collect_list(self.witness)).alias("prov"))
 
-    def rollup(self, keys: list[str], averages: dict[str, Column]) -> DataFrame:
-        """ROLLUP over keys (columns of these names), with averages, bags and `level` (the number of keys rolled up).
+    def digest(self, keys: list[Column], *values: Column) -> DataFrame:
+        """Groups with the number of their witnesses and an order-free digest in place of the bag, for groups of any size: a bag is one
+        row of one task, a digest is summed where the rows are. Over no rows and without keys, the digest is null."""
+        return self.df.groupBy(*keys).agg(*values, F.count(F.lit(1)).alias("n_witnesses"), F.sum(digest_of(self.witness)).alias("witness_digest"))
+
+    def rollup(self, keys: list[str], averages: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+        """ROLLUP over keys (columns of these names), with averages, bags and `level` (the number of keys rolled up), for each
+        combination of the columns `by`.
 
         The joined rows are grouped once, at the finest level; coarser levels sum the groups' sums and counts and
-        flatten their bags, so no witness is copied before it is collected. The total exists over no rows too, with null values.
+        flatten their bags, so no witness is copied before it is collected. The total exists over no rows too, with null values, where
+        there are no columns `by`.
         """
         parts = [f(c).alias(f"__{k}_{n}") for n, c in averages.items() for k, f in (("sum", F.sum), ("n", F.count))]
-        finest = self.df.groupBy(*[F.col(k) for k in keys]).agg(*parts, F.collect_list(self.witness).alias("__bag"))
+        every = [*by, *keys]
+        finest = self.df.groupBy(*[F.col(k) for k in every]).agg(*parts, F.collect_list(self.witness).alias("__bag"))
         values = [(F.sum(f"__sum_{n}").cast("double") / F.nullif(F.sum(f"__n_{n}"), F.lit(0))).alias(n) for n in averages]
         bag = F.flatten(F.collect_list("__bag"))
-        rolled = finest.rollup(*keys).agg(*values, bag.alias("prov"), F.grouping_id().alias("__gid"))
         level = F.bit_count("__gid").cast("int").alias("level")
+        if by:
+            sets = [[*by, *keys[:k]] for k in range(len(keys), -1, -1)]
+            rolled = finest.groupingSets([[F.col(c) for c in s] for s in sets], *every).agg(*values, bag.alias("prov"), F.grouping_id().alias("__gid"))
+            return rolled.select(*every, *averages, "prov", level)
+        rolled = finest.rollup(*keys).agg(*values, bag.alias("prov"), F.grouping_id().alias("__gid"))
         names = [*averages, "prov"]
         grand = finest.agg(*values, F.when(F.count(F.lit(1)) > 0, bag).alias("prov"))
         types = {f.name: f.dataType for f in finest.schema}
@@ -71,6 +83,11 @@ class Relation:
         return rolled.where(F.col("__gid") < (1 << len(keys)) - 1).select(*keys, *names, level).union(grand)
 
 
+def digest_of(witness: Column) -> Column:
+    """60 bits of the md5 of a witness (tokens joined by a bar), as a number that any database can sum."""
+    return F.conv(F.substring(F.md5(F.array_join(witness, "|")), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
 def either(arms: list[Column]) -> Column:
     """A disjunction; the optimizer draws out what all arms share."""
     return reduce(lambda a, b: a | b, arms)

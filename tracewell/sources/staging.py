@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +15,13 @@ memo: dict[tuple[str, str], DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset, a local folder if all runs on this machine; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "tracewell-shared")
+        warnings.warn(f"spark.checkpoint.dir is unset: intermediate tables are written to {found}", stacklevel=2)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.sources.annotate import number_rows
 from tracewell.sources.schemas import PREFIXES
-from tracewell.sources.staging import memo
+from tracewell.sources.staging import memo, stage
 
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 DAY0 = "date '1990-01-01'"
@@ -52,14 +52,17 @@ _KEYS = {"item": "p_partkey", "customer": "c_custkey"}
 DAYS = 4500  # from DAY0 to the spring of 2002
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem, numbered over all columns, with date and customer of its order; made once per application and folder."""
+    """lineitem, numbered over all columns, with date and customer of its order.
+
+    Made once per application and folder and kept in the shared folder, so a fact is a scan of the columns that are used, without a shuffle."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in memo:
-        memo[at] = number_rows(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE), LINE, "number")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
-    joined = memo[at].join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    day = lambda c: F.datediff(F.col(c).cast("date"), F.expr(DAY0)).cast("int")
-    return joined.withColumn("order_day", day("o_orderdate")).withColumn("ship_day", day("l_shipdate"))
+        numbered = number_rows(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE), LINE, "number")
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+        day = lambda c: F.datediff(F.col(c).cast("date"), F.expr(DAY0)).cast("int")
+        joined = numbered.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("order_day", day("o_orderdate")).withColumn("ship_day", day("l_shipdate"))
+        memo[at] = stage(joined.drop("o_orderkey", "o_orderdate"), "lines")
+    return memo[at]
 
 
 def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

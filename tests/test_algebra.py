@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from tracewell.functions import features
 from tracewell.operators.algebra import Relation, share, top
 from tracewell.plans import templates as T
-from tracewell.plans.batch import arm_params, revenue_params, revenue_share_batch, revenue_witnesses, store_quantity_batch
+from tracewell.plans.batch import arm_params, batch, revenue_params, revenue_share_batch, revenue_witnesses, store_quantity_batch
 from tracewell.plans.sqltext import discover, run_text, translate
-from tracewell.sources.annotate import annotate, number_rows
+from tracewell.sources.annotate import annotate, number_rows, write_annotated
 from tracewell.sources.schemas import RELATIONS, load, schema
 
 
@@ -31,8 +31,8 @@ def make(spark, relation, *rows):
 @pytest.fixture(scope="module")
 def db(spark):
     d = Decimal
-    day = dt.date(1998, 2, 15)
-    dates = [{"d_date_sk": k, "d_date": day + dt.timedelta(days=x), "d_year": 1998} for k, x in enumerate((0, 30, 31))]
+    day = dt.date(1997, 8, 9)
+    dates = [{"d_date_sk": k, "d_date": day + dt.timedelta(days=x), "d_year": 1997} for k, x in enumerate((0, 30, 31))]
     items = [{"i_item_sk": k, "i_item_id": i, "i_item_desc": "d", "i_category": "Music", "i_class": c, "i_current_price": d("50.00"), "i_manufact_id": 7} for k, (i, c) in enumerate((("A", "x"), ("B", "x"), ("C", "zero"), ("A", "y")))]
     web = [{"ws_item_sk": i, "ws_sold_date_sk": t, "ws_ext_sales_price": d(p), "ws_order_number": n, "ws_quantity": 2, "ws_sales_price": d("100.00"), "ws_net_profit": d("150.00"), "ws_web_page_sk": 0} for n, (i, t, p) in enumerate(((0, 0, "10.00"), (0, 1, "20.00"), (1, 1, "70.00"), (1, 2, "999.00"), (2, 0, "0.00")))]
     cds = [{"cd_demo_sk": k, "cd_marital_status": m, "cd_education_status": e, "cd_gender": "M", "cd_dep_count": 1} for k, (m, e) in enumerate((("D", "Primary"), ("M", "College"), ("D", "Primary")))]
@@ -62,7 +62,7 @@ PEOPLE = (("D", "Primary"), ("M", "College"), ("S", "Unknown"))
 
 
 def test_revenue_share(db):
-    rows = {r["i_item_id"]: r for r in T.RevenueShare("web_sales", ("Music",), dt.date(1998, 2, 15)).run(db).collect()}
+    rows = {r["i_item_id"]: r for r in T.RevenueShare("web_sales", ("Music",), dt.date(1997, 8, 9)).run(db).collect()}
     assert set(rows) == {"A", "B", "C"}  # the window holds its 30th day, not its 31st
     assert rows["A"]["itemrevenue"] == 30 and rows["A"]["revenueratio"] == 30.0 and rows["B"]["revenueratio"] == 70.0
     assert rows["C"]["revenueratio"] != rows["C"]["revenueratio"]  # 0 / 0
@@ -70,27 +70,27 @@ def test_revenue_share(db):
 
 
 def test_store_templates(db, spark):
-    row = T.StoreQuantity(*T.arms(48, PEOPLE, STATES), year=1998).run(db).first()
+    row = T.StoreQuantity(*T.arms(48, PEOPLE, STATES), year=1997).run(db).first()
     assert row["sum_quantity"] == 8  # both ends of a band belong to it, 99.99 does not
     assert all(len(w) == len(T.WITNESS[48]) for w in row["prov"])
-    row = T.StoreAverages(*T.arms(13, PEOPLE, STATES), year=1998).run(db).first()
+    row = T.StoreAverages(*T.arms(13, PEOPLE, STATES), year=1997).run(db).first()
     assert row["avg_quantity"] == 4.0 and len(row["prov"][0]) == len(T.WITNESS[13])
     empty = T.StoreQuantity(*T.arms(48, PEOPLE, STATES), year=1066).run(db).collect()
     assert len(empty) == 1 and empty[0]["sum_quantity"] is None and empty[0]["prov"] is None
 
 
 def test_rollup_keeps_data_nulls_apart(db):
-    rows = T.CatalogRollup("M", "Primary", (6,), 1998, ("VT",)).run(db).collect()
+    rows = T.CatalogRollup("M", "Primary", (6,), 1997, ("VT",)).run(db).collect()
     leaves = [r for r in rows if r["i_item_id"] and r["ca_country"] and r["ca_state"]]
     assert sum(r["prov"] is not None for r in rows) == len(rows)
     total = rows[-1]
     assert [total[c] for c in ("i_item_id", "ca_country", "ca_state", "ca_county")] == [None] * 4 and len(total["prov"]) == 3
     assert {(r["ca_county"] is None) for r in leaves} == {True, False}
-    assert len(T.CatalogRollup("F", "Primary", (6,), 1998, ("VT",)).run(db).collect()) == 1
+    assert len(T.CatalogRollup("F", "Primary", (6,), 1997, ("VT",)).run(db).collect()) == 1
 
 
 def test_stock_is_a_product(db):
-    rows = T.StockedItems("catalog_sales", 30, dt.date(1998, 2, 15), (7,)).run(db).collect()
+    rows = T.StockedItems("catalog_sales", 30, dt.date(1997, 8, 9), (7,)).run(db).collect()
     assert [(r["i_item_id"], len(r["prov"])) for r in rows] == [("A", 2)]
     assert all(len(w) == 4 for w in rows[0]["prov"])
 
@@ -103,14 +103,14 @@ def test_customers(db):
 
 
 def test_returns_group_by_whole_reason(db):
-    rows = T.WebReturns(*T.arms(85, PEOPLE, STATES), year=1998).run(db).collect()
+    rows = T.WebReturns(*T.arms(85, PEOPLE, STATES), year=1997).run(db).collect()
     assert [r["reason"] for r in rows] == ["a reason of some len"] * 2
     same = [w for r in rows for w in r["prov"] if w[3] == w[4]]
     assert len(same) == 1  # refunded and returning demographics may be one row, whose token then stands twice
 
 
 def test_batch_equals_single_runs(db, spark):
-    instances = [(1, ("Music",), dt.date(1998, 2, 15)), (2, ("Music", "Books"), dt.date(1998, 3, 17)), (3, ("Books",), dt.date(1998, 2, 15))]
+    instances = [(1, ("Music",), dt.date(1997, 8, 9)), (2, ("Music", "Books"), dt.date(1997, 9, 8)), (3, ("Books",), dt.date(1997, 8, 9))]
     batch = revenue_share_batch(db, "web_sales", revenue_params(spark, instances))
     key = lambda r: (r["i_item_id"], r["i_class"], r["itemrevenue"], repr(r["revenueratio"]), sorted(map(tuple, r["prov"])))
     got = sorted((r["instance"], key(r)) for r in batch.collect())
@@ -118,11 +118,62 @@ def test_batch_equals_single_runs(db, spark):
     loose = Counter((r["instance"], tuple(r["witness"])) for r in revenue_witnesses(db, "web_sales", revenue_params(spark, instances)).collect())
     assert loose == Counter((r["instance"], tuple(w)) for r in batch.collect() for w in r["prov"])
     assert {(r["template"], r["instance"]) for r in features.exploded(T.witnesses(batch), 12).collect()} == {(12, i) for i, _ in loose}
-    arms = [(1, 1998, PEOPLE, STATES), (2, 1066, PEOPLE, STATES)]
+    arms = [(1, 1997, PEOPLE, STATES), (2, 1066, PEOPLE, STATES)]
     rows = {r["instance"]: r["sum_quantity"] for r in store_quantity_batch(db, *arm_params(spark, 48, arms)).collect()}
     assert rows == {1: 8, 2: None}
 
 
+def test_every_batch_equals_single_runs(db, spark):
+    """Batches of each template over parameter tables against one run an instance, bags included."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    day = dt.date(1997, 8, 9)
+    other = (("W", "Primary"), ("U", "College"), ("D", "Unknown"))
+    people, shuffled = {1: PEOPLE, 2: other, 3: PEOPLE}, {1: STATES, 2: STATES, 3: (STATES[1], STATES[0], STATES[2])}
+    for template in (13, 48, 85):
+        persons, places = arm_params(spark, template, [(i, 1997, people[i], shuffled[i]) for i in people])
+        kind = {13: T.StoreAverages, 48: T.StoreQuantity, 85: T.WebReturns}[template]
+        compare(batch(template, db, {"persons": persons, "places": places}), {i: kind(*T.arms(template, people[i], shuffled[i]), year=1997).run(db) for i in people})
+    params = {"buyers": frame([(1, "M", "Primary", 1997), (2, "F", "Primary", 1997)], "instance int, gender string, education string, year int"), "months": frame([(1, 6), (1, 7), (2, 6)], "instance int, month int"), "states": frame([(1, "VT"), (2, "VT"), (2, "OH")], "instance int, state string")}
+    compare(batch(18, db, params), {1: T.CatalogRollup("M", "Primary", (6, 7), 1997, ("VT",)).run(db), 2: T.CatalogRollup("F", "Primary", (6,), 1997, ("VT", "OH")).run(db)})
+    for template, channel in ((37, "catalog_sales"), (82, "store_sales")):
+        params = {"stock": frame([(1, 30, day), (2, 20, day), (3, 90, day)], "instance int, price int, start date"), "makers": frame([(1, 7), (1, 8), (2, 7), (3, 7)], "instance int, maker int")}
+        compare(batch(template, db, params), {i: T.StockedItems(channel, p, day, m).run(db) for i, p, m in ((1, 30, (7, 8)), (2, 20, (7,)), (3, 90, (7,)))})
+    params = {"customers": frame([(1, "Union", 100), (2, "Union", 60000), (3, "Nowhere", 100)], "instance int, city string, income int")}
+    compare(batch(84, db, params), {1: T.ReturningCustomers("Union", 100).run(db), 2: T.ReturningCustomers("Union", 60000).run(db), 3: T.ReturningCustomers("Nowhere", 100).run(db)})
+    for template, channel in ((12, "web_sales"), (20, "catalog_sales"), (98, "store_sales")):
+        params = {"revenue": revenue_params(spark, [(1, ("Music", "Books"), day), (2, ("Books",), day)])}
+        compare(batch(template, db, params), {1: T.RevenueShare(channel, ("Music", "Books"), day).run(db), 2: T.RevenueShare(channel, ("Books",), day).run(db)})
+
+
+def compare(batched, single):
+    def key(r, names):
+        return tuple(repr(sorted(map(repr, r[c]))) if c == "prov" and r[c] is not None else repr(r[c]) for c in names)
+
+    names = [c for c in batched.columns if c != "instance"]
+    got, want = Counter((r["instance"], key(r, names)) for r in batched.collect()), Counter()
+    for i, df in single.items():
+        assert sorted(c for c in df.columns) == sorted(names)
+        want.update((i, key(r, names)) for r in df.collect())
+    assert got == want
+
+
+def test_digests_equal_bags(db):
+    """The digest of a group is the sum over its bag."""
+    import hashlib
+
+    sold = Relation.base(db["web_sales"], "web_sales").join(Relation.base(db["item"], "item"), F.col("ws_item_sk") == F.col("i_item_sk"))
+    bags = {r["i_class"]: [int(hashlib.md5("|".join(w).encode()).hexdigest()[:15], 16) for w in r["prov"]] for r in sold.group([F.col("i_class")]).collect()}
+    assert {r["i_class"]: (r["n_witnesses"], int(r["witness_digest"])) for r in sold.digest([F.col("i_class")]).collect()} == {k: (len(v), sum(v)) for k, v in bags.items()}
+
+
+def test_written_annotations(spark, tmp_path):
+    tables = {"store": spark.createDataFrame([(4,), (2,)], "s_store_sk int"), "reason": spark.createDataFrame([(1, "b"), (0, None)], "r_reason_sk int, r_reason_desc string")}
+    write_annotated(tables, str(tmp_path))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/store.parquet").collect())) == [(2, "S1"), (4, "S2")]
+    back = load(spark, str(tmp_path))["reason"]
+    assert back.columns == ["r_reason_desc", "r_reason_sk", "prov"] and sorted((r["r_reason_sk"], r["prov"]) for r in back.collect()) == [(0, "R1"), (1, "R2")]
+
+
 def test_plans_have_no_products(db):
     for t in (T.StoreAverages(*T.arms(13, PEOPLE, STATES)), T.StoreQuantity(*T.arms(48, PEOPLE, STATES)), T.WebReturns(*T.arms(85, PEOPLE, STATES))):
         plan = t.run(db)._jdf.queryExecution().executedPlan().toString()
@@ -171,7 +222,7 @@ TEXT = """select i_item_id as name, avg(ws_quantity) as mean, sum(ws_ext_sales_p
   array_agg(list_value(date_dim.prov, web_sales.prov)) prov
 from date_dim, web_sales, item
 where d_date_sk = ws_sold_date_sk and i_item_sk = ws_item_sk and ws_ext_sales_price > 5 and i_category in ('Music', 'avg(')
-  and d_date <= cast('1998-01-01' as date) + INTERVAL 75 DAY
+  and d_date <= cast('1997-06-25' as date) + INTERVAL 75 DAY
 group by i_item_id, d_year order by i_item_id LIMIT 7;"""
 
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from tracewell.functions import classify, features, similarity
 from tracewell.operators.algebra import Relation
 from tracewell.plans import templates as T
-from tracewell.plans.batch import arm_params, revenue_params, revenue_share_batch, revenue_witnesses, store_quantity_batch
+from tracewell.plans.batch import arm_params, revenue_params, revenue_share_batch, store_quantity_batch
+from tracewell.plans.batch_queries import corpus, corpus_sql
+from tracewell.plans.params import INSTANCES, TEST
 from tracewell.plans.report_queries import CATEGORIES, PEOPLE, STATES, digest
 from tracewell.sources.star import star, star_sql
-from tracewell.sources.staging import stage
+from tracewell.sources.staging import memo, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _made: dict[str, Query] = {}
@@ -32,7 +34,7 @@ def _query(sql: str | None) -> Callable[[Query], Query]:
 
 
 _STAR = f"with {star_sql('store_sales', 'item', 'date_dim')}"
-_JOIN = "store_sales join item on ss_item_sk = i_item_sk join date_dim on ss_sold_date_sk = d_date_sk where i_category = 'PROMO' and d_date >= date '1998-02-15' and d_date <= date '1998-03-17'"
+_JOIN = "store_sales join item on ss_item_sk = i_item_sk join date_dim on ss_sold_date_sk = d_date_sk where i_category = 'PROMO' and d_date >= date '1997-08-09' and d_date <= date '1997-09-08'"
 _WITNESS = "[store_sales.prov, item.prov, date_dim.prov]"
 
 
@@ -41,7 +43,7 @@ def _joined(spark: SparkSession, sf_dir: str, category: str = "PROMO") -> Relati
     return (
         Relation.base(db["store_sales"], "store_sales")
         .join(Relation.base(db["item"], "item").where(F.col("i_category") == category), F.col("ss_item_sk") == F.col("i_item_sk"))
-        .join(Relation.base(db["date_dim"], "date_dim").where(F.col("d_date").between("1998-02-15", "1998-03-17")), F.col("ss_sold_date_sk") == F.col("d_date_sk"))
+        .join(Relation.base(db["date_dim"], "date_dim").where(F.col("d_date").between("1997-08-09", "1997-09-08")), F.col("ss_sold_date_sk") == F.col("d_date_sk"))
     )
 
 
@@ -62,9 +64,8 @@ def witness_bag(spark, sf_dir):
 
 @_query(f"{_STAR} select i_class, count(*) as n_witnesses, count(distinct date_dim.prov) as n_days, min(array_to_string({_WITNESS}, '|')) as first_witness from {_JOIN} group by i_class")
 def witness_size(spark, sf_dir):
-    bags = _joined(spark, sf_dir).group([F.col("i_class")])
-    days = F.array_distinct(F.transform("prov", lambda w: w[2]))
-    return bags.select("i_class", F.size("prov").cast("long").alias("n_witnesses"), F.size(days).cast("long").alias("n_days"), F.array_min(F.transform("prov", lambda w: F.array_join(w, "|"))).alias("first_witness"))
+    joined = _joined(spark, sf_dir)
+    return joined.df.groupBy("i_class").agg(F.count(F.lit(1)).alias("n_witnesses"), F.count_distinct(joined.tokens[2]).alias("n_days"), F.min(F.array_join(joined.witness, "|")).alias("first_witness"))
 
 
 @_query(f"{_STAR}, w as (select unnest({_WITNESS}) as token from {_JOIN}) select token, count(*) as n from w group by token")
@@ -75,8 +76,8 @@ def token_freq(spark, sf_dir):
 
 @_query(f"{_STAR} select i_class, string_agg(distinct item.prov, ',' order by item.prov) as items from {_JOIN} group by i_class")
 def lineage_of_row(spark, sf_dir):
-    rows = _joined(spark, sf_dir).group([F.col("i_class")])
-    return rows.select("i_class", F.array_join(F.array_sort(F.array_distinct(F.transform("prov", lambda w: w[1]))), ",").alias("items"))
+    joined = _joined(spark, sf_dir)
+    return joined.df.groupBy("i_class").agg(F.array_join(F.array_sort(F.collect_set(joined.tokens[1])), ",").alias("items"))
 
 
 @_query(f"{_STAR} select count(*) as n, sum(ss_quantity)::bigint as total, list({_WITNESS}) is null as bag_is_null from {_JOIN.replace('PROMO', 'NOTHING')}")
@@ -90,7 +91,7 @@ def rollup_empty(spark, sf_dir):
     return rows.select("i_class", "i_item_id", "mean", F.coalesce(F.size(F.when(F.col("prov").isNotNull(), F.col("prov"))), F.lit(0)).cast("long").alias("n_witnesses"))
 
 
-SHARES = [(1, CATEGORIES, date(1998, 2, 15)), (2, ("SMALL", "MEDIUM", "STANDARD"), date(1999, 7, 1)), (3, ("PROMO", "LARGE", "SMALL"), date(2000, 1, 10))]
+SHARES = [(1, CATEGORIES, date(1997, 8, 9)), (2, ("SMALL", "MEDIUM", "STANDARD"), date(1999, 7, 1)), (3, ("PROMO", "LARGE", "SMALL"), date(2000, 1, 10))]
 _SHARE_VALUES = ", ".join(f"({i}, '{c}', date '{d}')" for i, cs, d in SHARES for c in cs)
 _BAG3 = "concat_ws('|', store_sales.prov, item.prov, date_dim.prov)"
 
@@ -126,53 +127,57 @@ def batch_or_arms(spark, sf_dir):
     return digest(store_quantity_batch(star(spark, sf_dir), *arm_params(spark, 48, ARMS)))
 
 
-def _corpus(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
-    """(template, instance, witness) of n instances each of templates 12, 20 and 98, run as one batch a template."""
-    kinds = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-    parts = []
-    for template, channel in ((12, "web_sales"), (20, "catalog_sales"), (98, "store_sales")):
-        params = revenue_params(spark, [(i, [kinds[(i + template + j) % 6] for j in range(3)], date(1998 + i % 3, i % 12 + 1, template % 27 + 1)) for i in range(1, n + 1)])
-        rows = revenue_witnesses(star(spark, sf_dir), channel, params)
-        parts.append(rows.select(F.lit(template).alias("template"), "instance", "witness"))
-    return parts[0].union(parts[1]).union(parts[2])
+#: Instances of each template whose tokens are compared with one another, and those of the whole corpus.
+FEW = {t: 12 for t in INSTANCES}
 
 
-def _corpus_sql(n: int = 12) -> str:
-    kinds = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-    out = []
-    for template, channel, p in ((12, "web_sales", "ws"), (20, "catalog_sales", "cs"), (98, "store_sales", "ss")):
-        values = ", ".join(f"({i}, '{kinds[(i + template + j) % 6]}', date '{date(1998 + i % 3, i % 12 + 1, template % 27 + 1)}')" for i in range(1, n + 1) for j in range(3))
-        out.append(f"select {template} as template, instance, [{channel}.prov, item.prov, date_dim.prov] as witness from {channel} join item on {p}_item_sk = i_item_sk join (values {values}) v(instance, category, start) on i_category = category join date_dim on {p}_sold_date_sk = d_date_sk and d_date >= start and d_date <= start + interval 30 day")
-    return f"with {star_sql('web_sales', 'catalog_sales', 'store_sales', 'item', 'date_dim')}, witnesses as ({' union all '.join(out)}), tokens as (select template, instance, unnest(witness) as token from witnesses)"
+def _witnesses(spark: SparkSession, sf_dir: str, counts: dict[int, int]) -> DataFrame:
+    """The witnesses of these instances, made once per application and folder and kept in the shared folder."""
+    at = (spark.sparkContext.applicationId, f"witnesses {sorted(counts.items())} {sf_dir}")
+    if at not in memo:
+        memo[at] = stage(corpus(spark, sf_dir, counts), "witnesses")
+    return memo[at]
 
 
-_CORPUS = _corpus_sql()
-_SETS = f"{_CORPUS}, sets as (select distinct template, instance, token from tokens where token not like 'D%'), sized as (select *, count(*) over (partition by template, instance) as size from sets), pairs as (select a.template as t1, a.instance as i1, a.size as n1, b.template as t2, b.instance as i2, b.size as n2, count(*) as shared from sized a join sized b on a.token = b.token and (a.template, a.instance) < (b.template, b.instance) group by all)"
+def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _witnesses(spark, sf_dir, FEW)
+
+
+_CORPUS = corpus_sql(FEW)
+_WHOLE = corpus_sql(INSTANCES)
+_SETS = f"{_CORPUS}, sets as (select distinct template, instance, token from tokens), sized as (select *, count(*) over (partition by template, instance) as size from sets), pairs as (select a.template as t1, a.instance as i1, a.size as n1, b.template as t2, b.instance as i2, b.size as n2, count(*) as shared from sized a join sized b on a.token = b.token and (a.template, a.instance) < (b.template, b.instance) group by all)"
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.token_set(_corpus(spark, sf_dir)).where(~F.col("token").startswith("D"))
+    return features.token_set(_few(spark, sf_dir))
 
 
 @_query(f"{_CORPUS} select distinct template, instance, token from tokens")
 def feat_token_set(spark, sf_dir):
-    return features.token_set(_corpus(spark, sf_dir))
+    return features.token_set(_few(spark, sf_dir))
 
 
-@_query(f"{_CORPUS} select template, instance, regexp_extract(token, '^([A-Z]+)', 1) as relation, count(*) as n, count(distinct token) as n_distinct from tokens group by all")
+@_query(f"{_WHOLE} select template, instance, regexp_extract(token, '^([A-Z]+)', 1) as relation, count(*) as n, count(distinct token) as n_distinct from tokens group by all")
 def feat_relation_profile(spark, sf_dir):
-    return features.relation_profile(_corpus(spark, sf_dir))
+    return features.relation_profile(_witnesses(spark, sf_dir, INSTANCES))
 
 
-@_query(f"{_CORPUS}, a as (select template, instance, count(*) as n_witnesses, count(distinct array_to_string(witness, '|')) as n_distinct_witnesses, max(len(witness))::int as arity from witnesses group by 1, 2), b as (select template, instance, count(*) as n_tokens, count(distinct token) as n_distinct_tokens from tokens group by 1, 2) select * from a join b using (template, instance)")
+@_query(f"{_WHOLE}, a as (select template, instance, count(*) as n_witnesses, count(distinct array_to_string(witness, '|')) as n_distinct_witnesses, max(len(witness))::int as arity from witnesses group by 1, 2), b as (select template, instance, count(*) as n_tokens, count(distinct token) as n_distinct_tokens from tokens group by 1, 2) select * from a join b using (template, instance)")
 def feat_witness_stats(spark, sf_dir):
-    return features.witness_statistics(_corpus(spark, sf_dir))
+    return features.witness_statistics(_witnesses(spark, sf_dir, INSTANCES))
+
+
+_COUNTS = ", ".join(f"({t}, {n})" for t, n in INSTANCES.items())
+
 
+def _instances(spark: SparkSession, counts: dict[int, int]) -> DataFrame:
+    sizes = spark.createDataFrame(list(counts.items()), "template int, n int")
+    return sizes.select("template", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("instance"))
 
-@_query("with i as (select unnest([12, 20, 98, 85]) as template), r as (select template, k as instance from i, range(1, 1251) t(k) where template <> 85 or k <= 857) select template, cast(instance as int) as instance, case when row_number() over (partition by template order by md5(concat(template, '-', instance)), instance) <= 250 then 'test' else 'train' end as split from r")
+
+@_query(f"with sizes(template, n) as (values {_COUNTS}), r as (select template, cast(k as int) as instance from sizes, range(1, 1251) t(k) where k <= n) select template, instance, case when row_number() over (partition by template order by md5(concat(template, '-', instance)), instance) <= {TEST} then 'test' else 'train' end as split from r")
 def split_250(spark, sf_dir):
-    instances = spark.range(1, 1251).select(F.col("id").cast("int").alias("instance")).withColumn("template", F.explode(F.array(*[F.lit(t) for t in (12, 20, 98, 85)]))).where("template <> 85 or instance <= 857")
-    return features.split(instances).select("template", "instance", "split")
+    return features.split(_instances(spark, INSTANCES), TEST).select("template", "instance", "split")
 
 
 @_query(f"{_SETS} select t1, i1, t2, i2, shared, round(shared / (n1 + n2 - shared), 6) as jaccard from pairs")
@@ -187,7 +192,7 @@ def containment_pairs(spark, sf_dir):
 
 @_query(f"{_CORPUS}, counts as (select template, instance, token, count(*) as n from tokens group by all), norms as (select template, instance, sqrt(sum(n * n)) as norm from counts group by 1, 2), whole as (select * from counts join norms using (template, instance)) select a.template as t1, a.instance as i1, b.template as t2, b.instance as i2, round(sum(a.n * b.n) / any_value(a.norm) / any_value(b.norm), 5) as cosine from whole a join whole b on a.token = b.token and (a.template, a.instance) < (b.template, b.instance) group by all")
 def cosine_pairs(spark, sf_dir):
-    return similarity.cosine(features.token_counts(_corpus(spark, sf_dir))).withColumn("cosine", F.round("cosine", 5))
+    return similarity.cosine(features.token_counts(_few(spark, sf_dir))).withColumn("cosine", F.round("cosine", 5))
 
 
 @_query(f"{_SETS} select t1, t2, count(*) as n_pairs, cast(sum(shared) as bigint) as shared, round(avg(shared / (n1 + n2 - shared)), 6) as mean_jaccard from pairs group by t1, t2")
@@ -195,36 +200,60 @@ def template_similarity_matrix(spark, sf_dir):
     return similarity.template_matrix(_sets(spark, sf_dir)).withColumn("mean_jaccard", F.round("mean_jaccard", 6))
 
 
-def _features(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    witnesses = stage(_corpus(spark, sf_dir, n), "witnesses")
-    instances = spark.range(1, n + 1).select(F.col("id").cast("int").alias("instance")).withColumn("template", F.explode(F.array(*[F.lit(t) for t in (12, 20, 98)])))
-    return stage(features.split(features.feature_rows(witnesses, instances), n // 4), "features")
+def _represented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All instances of all templates in all representations, with their split; made once per application and folder."""
+    at = (spark.sparkContext.applicationId, f"representations {sf_dir}")
+    if at not in memo:
+        memo[at] = stage(features.split(features.representations(_witnesses(spark, sf_dir, INSTANCES), _instances(spark, INSTANCES)), TEST), "representations")
+    return memo[at]
 
 
-@_query(None)
+#: Jaccard distance of the MinHash search.
+NEAR = 0.7
+
+
+@_query(f"{_SETS} select t1, i1, t2, i2, round(1 - shared / (n1 + n2 - shared), 6) as distance from pairs where 1 - shared / (n1 + n2 - shared) <= {NEAR}")
 def minhash_pairs(spark, sf_dir):
-    return similarity.minhash_pairs(_features(spark, sf_dir, 12), 0.97).withColumn("distance", F.round("distance", 6))
+    rows = features.feature_rows(_few(spark, sf_dir), _instances(spark, FEW))
+    return similarity.minhash_pairs(rows, NEAR, recall=0.999999).withColumn("distance", F.round("distance", 6))
+
+
+@_query(None)
+def represent_split(spark, sf_dir):
+    """The representations as they are written: sizes of each, with the split."""
+    return _represented(spark, sf_dir).select("template", "instance", "split", F.size("tokens").alias("n_set"), "n_tokens", F.size("witness_set").alias("n_witness_set"), "n_witnesses", F.size("profile").alias("n_relations"))
 
 
 @_query(None)
 def classify_lr(spark, sf_dir):
-    return classify.evaluate(_features(spark, sf_dir, 40), "lr")
+    """Without what names relations: the headline. The letters of tokens tell most templates by themselves, see classify_with_prefixes."""
+    return classify.evaluate(_represented(spark, sf_dir), "lr", "bare_multiset")
 
 
 @_query(None)
 def classify_rf(spark, sf_dir):
-    return classify.evaluate(_features(spark, sf_dir, 40), "rf")
+    return classify.evaluate(_represented(spark, sf_dir), "rf", "bare_sizes")
+
+
+@_query(None)
+def classify_gbt(spark, sf_dir):
+    return classify.evaluate(_represented(spark, sf_dir), "gbt", "bare_sizes")
 
 
 @_query(None)
 def classify_nb(spark, sf_dir):
-    return classify.evaluate(_features(spark, sf_dir, 40), "nb")
+    return classify.evaluate(_represented(spark, sf_dir), "nb", "bare_set")
+
+
+@_query(None)
+def classify_witnesses(spark, sf_dir):
+    return classify.evaluate(_represented(spark, sf_dir), "nb", "witnesses")
 
 
 @_query(None)
-def classify_without_prefixes(spark, sf_dir):
-    rows = _features(spark, sf_dir, 40)
-    return classify.evaluate(rows.withColumn("tokens", classify.without_prefixes(F.col("tokens"))), "nb", weighted=True)
+def classify_with_prefixes(spark, sf_dir):
+    rows = _represented(spark, sf_dir)
+    return classify.evaluate(rows, "rf", "profile").union(classify.evaluate(rows, "nb", "set"))
 
 
 def queries() -> dict[str, Query]:

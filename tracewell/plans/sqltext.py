@@ -37,6 +37,28 @@ def _wrap(text: str, name: str, before: str, after: str) -> str:
     return text
 
 
+def _shares(text: str) -> str:
+    """Each n * 100 / d as a quotient of doubles that is IEEE's where d is zero; n and d are calls, d possibly over a window."""
+    sign, done = re.compile(r"\s*\*\s*100\s*/\s*"), 0
+    while m := sign.search(text, done):
+        start, depth = m.start(), 0
+        while start:  # back to where the call before the sign begins
+            start -= 1
+            depth += (text[start] == ")") - (text[start] == "(")
+            if not depth:
+                break
+        while start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+            start -= 1
+        end = _closing(text, text.index("(", m.end())) + 1
+        if over := re.compile(r"\s*over\s*(?=\()", re.I).match(text, end):
+            end = _closing(text, over.end()) + 1
+        top, whole = text[start : m.start()], text[m.end() : end]
+        new = f"case when {whole} = 0 then {top} * double('Infinity') else {top} * 100D / nullif({whole}, 0) end"
+        text = text[:start] + new + text[end:]
+        done = start + len(new)
+    return text
+
+
 def _nulls_last(text: str) -> str:
     """The last ORDER BY with NULLS LAST after each key."""
     ordered = list(re.finditer(r"\border\s+by\b", text, re.I))
@@ -68,7 +90,7 @@ def translate(text: str) -> str:
     text = re.sub(r"\blist_value\s*\(", "array(", text, flags=re.I)
     text = _wrap(text, "array_agg", "nullif(collect_list(", "), cast(array() as array<array<string>>))")
     text = _wrap(text, "avg", "cast(avg(", ") as double)")
-    text = re.sub(r"\*\s*100\s*/", "* 100D /", text)
+    text = _shares(text)
     text = _nulls_last(text)
     return re.sub("\0(\\d+)\0", lambda m: quoted[int(m[1])], text)
 

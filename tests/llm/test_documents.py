@@ -367,11 +367,28 @@ def test_index_stops_only_on_proof():
     r = np.random.default_rng(3)
     vectors = (r.normal(0, 200, (3000, 12)) * (r.random((3000, 12)) < 0.3)).astype(np.int64)
     index = impact.BlockIndex(vectors)
-    for k in range(0, 3000, 300):
-        for slack, every in ((0, 5), (50, 16), (1024, 128)):
-            rows, scores = index.top(vectors[k], 10, skip=k, slack=slack, check_every=every)
-            want = np.sort(np.delete(vectors @ vectors[k], k))[::-1][:10]
-            assert np.sort(scores)[::-1][:10].tolist() == want.tolist()
+    for scale in (1, 1 << 20):  # sums beyond 47 bits have no counts beside them
+        index = impact.BlockIndex(vectors * scale)
+        for k in range(0, 3000, 300):
+            want = np.sort(np.delete(index.vectors @ vectors[k], k))[::-1][:10]
+            for slack, every, floor in ((0, 5, None), (50, 16, None), (1024, 128, None), (0, 7, int(want[9])), (0, 7, int(want[2]) + 1)):
+                rows, scores = index.top(vectors[k], 10, skip=k, slack=slack, check_every=every, floor=floor)
+                assert np.sort(scores)[::-1][:10].tolist()[: sum(want >= floor) if floor is not None else 10] == (want if floor is None else want[want >= floor]).tolist()
+
+
+def test_index_answers_a_whole_block():
+    """A block of the production size: the accumulators decide, few rows are rescored, and a floor from elsewhere saves segments."""
+    r = np.random.default_rng(4)
+    vectors = np.floor(1024 * (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(r.normal(0, 1, (16_384, 64)))).astype(np.int64)
+    own, other = impact.BlockIndex(vectors), impact.BlockIndex(vectors)
+    rescored = 0
+    for k in range(0, 16_384, 2048):
+        want = np.sort(np.delete(vectors @ vectors[k], k))[::-1][:10]
+        rows, scores = own.top(vectors[k], 10, skip=k)
+        assert np.sort(scores)[::-1][:10].tolist() == want.tolist()
+        rescored += len(rows)
+        assert len(other.top(vectors[k], 10, skip=k, floor=int(want[0]))[0]) <= 75
+    assert rescored <= 8 * 80 and own.read < 0.9 * own.all and other.read < own.read
 
 
 # URLs

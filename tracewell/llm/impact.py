@@ -1,11 +1,14 @@
 """Exact top-k inner products with impact-ordered, score-at-a-time indexes over blocks of integer vectors.
 
-Each block of vectors has an index: per dimension, its postings are cut into segments of equal quantised value. For a query
-the segments of all dimensions, each shifted so that the dimension's least possible contribution is zero, are processed by
-descending impact, and each adds its lower bound to the accumulators of its members. A row's score is at most its
-accumulator, plus the widest segment and plus the impact that is left, of every dimension. Processing stops when at
-most `slack` rows can still be among the k best, which the k-th best lower bound proves, or when no segment is left;
-all rows that can be are rescored exactly.
+Each block of vectors has an index: per dimension, its postings (row and value) are cut into segments of equal quantised value. For
+a query the segments of all dimensions, each shifted so that the dimension's least possible contribution is zero, are
+processed by descending impact, and each adds its members' contributions to their accumulators. No dimension that a row has
+not been met in can add more than the impact of the next segment; so a row's score is at most its accumulator plus that
+impact for each such dimension. The rows that lead are scored exactly now and then, and the k-th best of them is a threshold that
+the rest must reach. Processing stops when at most `slack` rows beyond k still can, or when no segment is left; all rows
+that can are rescored exactly.
+
+A query meets its own block first. The k-th best score there is the threshold that it takes to the other blocks.
 
 Vectors whose products might not fit 64 bits are in blocks of their own without an index. Where they meet others, all scores
 are computed as doubles with a bound of their error, and the rows that can be among the k best again with whole numbers.
@@ -73,65 +76,73 @@ def wide_top(vectors: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int,
 
 
 class BlockIndex:
-    """Segments of one block: per dimension, members by quantised value."""
+    """Segments of one block: per dimension, members and their values by quantised value."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        n, dims = vectors.shape
-        self.segments: list[list[tuple[int, int, np.ndarray]]] = []  # per dimension (least, largest, members), by ascending value
-        for d in range(dims):
+        self.norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
+        self.segments: list[list[tuple[int, int, np.ndarray, np.ndarray]]] = []  # per dimension (least, largest, members, values), by ascending value
+        for d in range(vectors.shape[1]):
             column = vectors[:, d]
             low, high = int(column.min()), int(column.max())
             width = max(1, -(-(high - low + 1) // LEVELS))
             level = (column - low) // width
             order = np.argsort(level, kind="stable")
-            bounds = np.flatnonzero(np.diff(level[order], prepend=-1))
-            parts = np.split(order.astype(np.int32), bounds[1:])
-            self.segments.append([(int(column[m].min()), int(column[m].max()), m) for m in parts])
-
-    def _ordered(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], int]:
-        """Shifted upper impacts, shifted lower impacts, dimensions and members of the query's segments by descending impact; the shift."""
-        upper, lower, dims, members, shift = [], [], [], [], 0
+            parts = np.split(order, np.flatnonzero(np.diff(level[order], prepend=-1))[1:])
+            self.segments.append([(int(column[m].min()), int(column[m].max()), m, column[m]) for m in parts])
+        self.read = self.all = 0  # segments, over all queries
+
+    def _ordered(self, query: np.ndarray) -> tuple[list[tuple[int, int, int, np.ndarray, np.ndarray]], list[int], int]:
+        """The query's segments as (shifted largest impact, factor, least, members, values) by descending impact; the largest impact of
+        each dimension, ascending; the shift."""
+        found, starts, shift = [], [], 0
         for d in np.flatnonzero(query).tolist():
             q, segments = int(query[d]), self.segments[d]
             least = q * (segments[0][0] if q > 0 else segments[-1][1])
             shift += least
-            for a, b, m in segments:
-                lo, hi = (q * a, q * b) if q > 0 else (q * b, q * a)
-                upper.append(hi - least)
-                lower.append(lo - least)
-                dims.append(d)
-                members.append(m)
-        upper, lower, dims = np.array(upper, np.int64), np.array(lower, np.int64), np.array(dims, np.int64)
-        order = np.argsort(-upper, kind="stable")
-        return upper[order], lower[order], dims[order], [members[i] for i in order.tolist()], shift
-
-    def top(self, query: np.ndarray, k: int, skip: int | None = None, floor: int | None = None, slack: int = 1024, check_every: int = 128) -> tuple[np.ndarray, np.ndarray]:
+            impacts = [(q * (b if q > 0 else a) - least, q, least, m, v) for a, b, m, v in segments]
+            starts.append(max(x[0] for x in impacts))
+            found += impacts
+        found.sort(key=lambda x: -x[0])
+        return found, sorted(starts), shift
+
+    def top(self, query: np.ndarray, k: int, skip: int | None = None, floor: int | None = None, slack: int = 64, check_every: int = 128) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of all rows that can be among the k best of the block, `skip` left out; exact scores.
 
         floor: a score that k other rows are known to reach; rows below it need not be found."""
-        n = len(self.vectors)
-        upper, lower, dims, members, shift = self._ordered(query)
-        known = np.zeros(n, dtype=np.int64)  # lower bounds, shifted
-        start = np.zeros(len(query), dtype=np.int64)  # the largest impact of each dimension
-        np.maximum.at(start, dims, upper)
-        widths = np.zeros(len(query), dtype=np.int64)  # the most that a segment seen adds to its lower bound
-        np.maximum.at(widths, dims, upper - lower)
-        gap, most, rows = int(widths.sum()), k + (skip is not None), np.arange(n)
-        if n > most:
-            for i, m in enumerate(members, 1):
-                known[m] += lower[i - 1]
-                if i % check_every and i < len(members):
+        n, most = len(self.vectors), k + (skip is not None)
+        segments, starts, shift = self._ordered(query)
+        self.all += len(segments)
+        rows = np.arange(n)
+        can = np.ones(n, dtype=bool)
+        if floor is not None:  # a product is at most that of the norms
+            can = np.sqrt((query.astype(np.float64) ** 2).sum()) * self.norms * (1 + 1e-9) >= floor
+            rows = np.flatnonzero(can)
+        if len(rows) > most + slack:
+            start = np.array(starts, dtype=np.int64)
+            known = np.zeros(n, dtype=np.int64)  # contributions so far, shifted; above them the number of dimensions met, where it fits
+            met = 1 << 48 if int(start.sum()) < 1 << 47 else 0
+            best = None if floor is None else floor - shift
+            for i, (_, q, least, m, v) in enumerate(segments, 1):
+                np.add.at(known, m, v * q + (met - least))
+                if i % check_every and i < len(segments):
                     continue
-                # impacts descend: no dimension has more to add than the next segment
-                rest = int(np.minimum(start, upper[i]).sum()) if i < len(members) else 0
-                best = int(np.partition(known, n - most)[n - most])
-                if floor is not None:
-                    best = max(best, floor - shift)
-                can = known >= best - gap - rest
-                if i == len(members) or can.sum() <= most + slack:
-                    rows = np.flatnonzero(can)
+                following = segments[i][0] if i < len(segments) else 0
+                rest = int(np.minimum(start, following).sum())
+                sums = known & (met - 1) if met else known
+                high = sums + rest - following * (known >> 48) if met else sums + rest
+                high[~can] = -1
+                leaders = np.argpartition(sums, n - most - 2 * k)[n - most - 2 * k :] if n > most + 2 * k else np.arange(n)
+                leaders = leaders[leaders != skip] if skip is not None else leaders
+                if len(leaders) >= k:
+                    reached = int(np.partition(self.vectors[leaders] @ query, len(leaders) - k)[len(leaders) - k]) - shift
+                    best = reached if best is None else max(best, reached)
+                if best is not None:
+                    can &= high >= best
+                if i == len(segments) or can.sum() <= most + slack:
+                    self.read += i
                     break
+            rows = np.flatnonzero(can)
         if skip is not None:
             rows = rows[rows != skip]
         return rows, self.vectors[rows] @ query
@@ -187,18 +198,49 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     ranked for itself; other columns are not read.
     """
     blocks = vector_blocks(vectors, scale, rows_per_block)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found_schema = "array<struct<query_id:bigint,own:bigint,p:bigint,vec_id:bigint,score:bigint,key:binary>>"
+
+    def search(index: BlockIndex | None, vectors: np.ndarray, candidates: np.ndarray, own: int, places: list[int], ids: list[int], queries: np.ndarray, skips: list[int | None], floors: list[int | None]) -> list[dict]:
+        """The best rows of one block for each query: through its index, or, where vectors are wide, by wide_top."""
+        found = []
+
+        def add(query_id: int, p: int, vec_id: int, score: int) -> None:
+            found.append({"query_id": query_id, "own": own, "p": p, "vec_id": vec_id, "score": score if -(1 << 63) <= score < 1 << 63 else None, "key": sort_key(score)})
+
+        if index is None:
+            for p, query_id, (members, scores) in zip(places, ids, wide_top(vectors, queries, candidates, k, skips)):
+                for m, score in zip(members, scores):
+                    add(query_id, p, int(candidates[m]), score)
+        else:
+            for p, query_id, q, skip, floor in zip(places, ids, queries, skips, floors):
+                members, scores = index.top(q, k, skip, floor)
+                best = np.lexsort((candidates[members], -scores))[:k]
+                for vec_id, score in zip(candidates[members[best]].tolist(), scores[best].tolist()):
+                    add(query_id, p, vec_id, score)
+        return found
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries of each block, with what they find there, and the k-th best score of it as a floor."""
+        resident(__name__)
         for batch in batches:
             for block, dims, wide, n, ids, rows in zip(*(batch.column(c).to_pylist() for c in ("block", "dims", "wide", "n", "ids", "rows"))):
                 ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, kind_of(wide)).reshape(n, dims)
                 at = np.flatnonzero(ids % every == 0)
+                whole = rows.astype(np.int64)
+                index = BlockIndex(whole) if len(at) and not wide else None
                 for a in range(0, len(at), queries_per_block):
                     p = at[a : a + queries_per_block]
-                    yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "wide": [wide], "own": pa.array([block], pa.int64()), "nq": pa.array([len(p)], pa.int32()), "at": [p.astype("<i8").tobytes()], "query_ids": [ids[p].tobytes()], "queries": [rows[p].tobytes()]})
-
-    asked = map_batches(blocks, pick, "dims int, wide boolean, own long, nq int, at binary, query_ids binary, queries binary")
-    # every block of queries meets every block of vectors of its length once. A block of vectors is sent to as many tasks as its
+                    found = search(index, whole, ids, block, p.tolist(), ids[p].tolist(), whole[p], p.tolist(), [None] * len(p))
+                    scores: dict[int, list[int]] = {}
+                    for x in found:
+                        scores.setdefault(x["p"], []).append(x["score"])
+                    floors = [scores[x][k - 1] if not wide and len(scores.get(x, ())) >= k else None for x in p.tolist()]
+                    columns = {"dims": pa.array([dims], pa.int32()), "wide": [wide], "own": pa.array([block], pa.int64()), "nq": pa.array([len(p)], pa.int32()), "at": [p.astype("<i8").tobytes()], "query_ids": [ids[p].tobytes()], "queries": [rows[p].tobytes()]}
+                    kind = pa.list_(pa.struct([("query_id", pa.int64()), ("own", pa.int64()), ("p", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("key", pa.binary())]))
+                    yield pa.RecordBatch.from_pydict(columns | {"floors": pa.array([floors], pa.list_(pa.int64())), "found": pa.array([found], kind)})
+
+    asked = map_batches(blocks, ask, f"dims int, wide boolean, own long, nq int, at binary, query_ids binary, queries binary, floors array<bigint>, found {found_schema}")
+    # every block of queries meets every other block of vectors of its length once. A block of vectors is sent to as many tasks as its
     # queries are dealt over: to keep all tasks busy, and to hold AT_ONCE blocks of queries a task at most
     asked = stage(asked, "queries")
     parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -206,33 +248,27 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     salts = max(1, min(n_asked, max(-(-n_asked // AT_ONCE), -(-parts // n_blocks))))
     listed = blocks.groupBy("dims").agg(F.collect_list("block").alias("blocks"))
     salted = F.pmod(F.xxhash64("own", "at"), F.lit(salts)).cast("int")
-    questions = asked.join(listed, "dims").withColumn("block", F.explode("blocks")).select("block", salted.alias("salt"), F.lit(1).alias("kind"), "dims", "wide", F.col("nq").alias("n"), F.col("query_ids").alias("ids"), F.col("queries").alias("rows"), "own", "at")
-    indexed = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("block", "salt", F.lit(0).alias("kind"), "dims", "wide", "n", "ids", "rows", F.lit(None).cast("long").alias("own"), F.lit(None).cast("binary").alias("at"))
+    questions = asked.join(listed, "dims").withColumn("block", F.explode("blocks")).where("block <> own").select("block", salted.alias("salt"), F.lit(1).alias("kind"), "dims", "wide", F.col("nq").alias("n"), F.col("query_ids").alias("ids"), F.col("queries").alias("rows"), "own", "at", "floors")
+    indexed = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("block", "salt", F.lit(0).alias("kind"), "dims", "wide", "n", "ids", "rows", F.lit(None).cast("long").alias("own"), F.lit(None).cast("binary").alias("at"), F.lit(None).cast("array<bigint>").alias("floors"))
     met = indexed.union(questions).repartition(parts, "block", "salt").sortWithinPartitions("block", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident(__name__)
         index, candidates, vectors, held_wide = None, None, None, False
         for batch in batches:
-            for kind, dims, wide, n, ids, rows, own, at, block in zip(*(batch.column(c).to_pylist() for c in ("kind", "dims", "wide", "n", "ids", "rows", "own", "at", "block"))):
+            for kind, dims, wide, n, ids, rows, own, at, floors in zip(*(batch.column(c).to_pylist() for c in ("kind", "dims", "wide", "n", "ids", "rows", "own", "at", "floors"))):
                 ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, kind_of(wide)).reshape(n, dims).astype(np.int64)
                 if kind == 0:
-                    index, vectors, candidates, held_wide = (BlockIndex(rows) if n and not wide else None), rows, ids, wide
+                    index, vectors, candidates, held_wide = None, rows, ids, wide
                     continue
-                found, places = [], np.frombuffer(at, "<i8").tolist()
-                if wide or held_wide:
-                    best = wide_top(vectors, rows, candidates, k, [p if own == block else None for p in places])
-                    for p, query_id, (members, scores) in zip(places, ids.tolist(), best):
-                        found += [(query_id, own, p, int(candidates[m]), score if -(1 << 63) <= score < 1 << 63 else None, sort_key(score)) for m, score in zip(members, scores)]
-                else:
-                    for p, query_id, q in zip(places, ids.tolist(), rows):
-                        members, scores = index.top(q, k, p if own == block else None)
-                        best = np.lexsort((candidates[members], -scores))[:k]
-                        found += [(query_id, own, p, vec_id, score, sort_key(score)) for vec_id, score in zip(candidates[members[best]].tolist(), scores[best].tolist())]
-                columns = zip(*found) if found else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, [pa.int64()] * 5 + [pa.binary()])], names=["query_id", "own", "p", "vec_id", "score", "key"])
-
-    near = map_batches(met, run, "query_id long, own long, p long, vec_id long, score long, key binary")
+                if index is None and not wide and not held_wide:
+                    index = BlockIndex(vectors)
+                found = search(None if wide or held_wide else index, vectors, candidates, own, np.frombuffer(at, "<i8").tolist(), ids.tolist(), rows, [None] * n, floors)
+                columns = [[x[c] for x in found] for c in ("query_id", "own", "p", "vec_id", "score", "key")]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 5 + [pa.binary()])], names=["query_id", "own", "p", "vec_id", "score", "key"])
+
+    far = map_batches(met, run, "query_id long, own long, p long, vec_id long, score long, key binary")
+    near = asked.select(F.inline("found"))
     order = Window.partitionBy("query_id", "own", "p").orderBy(F.desc("key"), "vec_id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = near.union(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

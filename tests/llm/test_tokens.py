@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from tests.llm.conftest import ODD
 from tracewell.llm import arrowfiles, packing
 from tracewell.llm.bpe import bpe_decode, bpe_encode
-from tracewell.llm.tokens import AGREED, ByteDecoder, ChunkEncoder, WordEncoder, chunk_ends, public_path
+from tracewell.llm.tokens import AGREED, ByteDecoder, ChunkEncoder, WordEncoder, byte_letters, chunk_ends, public_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 PIECES = ["a", "B", "é", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "1", "23", "\u3000", "\xa0", "\x1c", "日本", "Σ", "İ", "<|endoftext|>", "<|startoftext|>", "e\u0301", "😀", "\r\n", "-", "$$$", "\u200b", "\x85", "ﬁ", "the ", " word,", " Word. ", "ª", "ß"]
@@ -39,6 +39,41 @@ def test_encoders_agree_with_the_library(libraries):
             assert [x.tolist() for x in encoder.encode_batch(texts)] == want
 
 
+@pytest.fixture(scope="module")
+def second(tmp_path_factory):
+    """Another byte-level vocabulary, made by hand: bytes and a few merges behind the public pattern of larger vocabularies."""
+    from tokenizers import AddedToken, Regex, decoders, models, pre_tokenizers
+
+    letters = byte_letters()
+    merges = [("t", "h"), ("th", "e"), ("\u0120", "the"), ("\u0120", "\u0120"), ("w", "o"), ("wo", "r"), ("\u0120", "wor"), ("a", "B"), ("1", "2"), ("12", "3"), ("\u010a", "\u010a"), (".", "\u010a"), ("$", "$"), ("$$", "$"), ("r", "d")]
+    vocab = {t: i for i, t in enumerate(dict.fromkeys([*letters, *(a + b for a, b in merges)]))}
+    tok = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    pattern = r"(?i:'s|'t|'re)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tok.decoder = decoders.ByteLevel()
+    tok.add_special_tokens([AddedToken("<|endoftext|>", special=True), AddedToken("<|startoftext|>", special=True)])
+    path = str(tmp_path_factory.mktemp("vocabulary") / "second.json")
+    tok.save(path)
+    return path
+
+
+def test_joins_are_repaired_until_they_agree(second, libraries):
+    """Any byte-level vocabulary gives the library's ids through windows, with cuts at almost every place; reuse is real."""
+    texts = [*some_texts(250, 5), "<|endof" + "text|>" * 3 + " x<|endoftext|>y" * 20, " " * 300 + "the", "12345678901234567890" * 9, "the \n\n  \r\n.\n" * 40, "$" * 500 + "\n" * 70, ("the word " * 40 + "A" * 90) * 6, "日本語" * 100]
+    for path, way in ((second, None), (public_path(BYTES), "windows")):
+        tok = Tokenizer.from_file(path)
+        want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        for bits, entries in ((2, 100_000), (4, 30), (8, 100_000)):
+            encoder = ChunkEncoder(path, entries=entries, bits=bits, way=way)
+            assert encoder.way == "windows"
+            assert [x.tolist() for x in encoder.encode_batch(texts)] == want
+        again = encoder.repairing.encoded
+        assert [x.tolist() for x in encoder.encode_batch(texts)] == want and encoder.repairing.encoded == again and encoder.repairing.windows
+        decoder = ByteDecoder(path)
+        assert [decoder.decode(x) for x in want] == [tok.decode(x, skip_special_tokens=False) for x in want]
+    assert ChunkEncoder(public_path(BYTES)).way == "places" and ChunkEncoder(public_path(WORDS)).way == "whole"
+
+
 def test_agreed_places_are_safe(libraries):
     tok = libraries[BYTES]
     for text in some_texts(80, 2):

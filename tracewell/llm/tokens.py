@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -142,13 +143,123 @@ def chunk_ends(data: bytes, window: int = 16, bits: int = 7) -> np.ndarray:
 
 _BYTE_CODES = np.random.default_rng(11).integers(1, 1 << 32, 256, dtype=np.uint32)
 
-#: Places where the byte-level pre-tokenizer always starts a new piece, whatever stands before or after: a space before
+#: Places where the plain byte-level pre-tokenizer (the one with a pattern of its own) always starts a new piece, whatever stands before or after: a space before
 #: a character that is no white space, and a line feed after a printing ASCII character.
 AGREED = re.compile(rb" (?=[!-~\xc3-\xdf\xe4-\xf4])|(?<=[!-~])\n")
 #: Found in chunks where not every space and line feed is an agreed place.
 UNEVEN = re.compile(rb" [^!-~\xc3-\xdf\xe4-\xf4]|[^!-~]\n|^\n| \Z")
 
 
+def way_of(path: str, added) -> str:
+    """How texts can be encoded by chunks with a vocabulary: `places`, `windows`, or `whole` (not by chunks)."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    step = parts.get("pre_tokenizer") or {}
+    steps = step.get("pretokenizers", []) if step.get("type") == "Sequence" else [step]
+    letters = set(byte_letters())
+    plain = parts["model"].get("type") == "BPE" and not parts.get("normalizer") and letters <= parts["model"]["vocab"].keys() and not parts["model"].get("dropout")
+    plain = plain and all(x.get("type") in ("ByteLevel", "Split") and not x.get("add_prefix_space") for x in steps) and any(x.get("type") == "ByteLevel" for x in steps)
+    plain = plain and all("?<" not in str(x.get("pattern")) and x.get("behavior", "Isolated") == "Isolated" and not x.get("invert") for x in steps)  # nothing looks behind or drops text
+    if not plain or any(t.lstrip or t.rstrip or t.single_word for t in added):
+        return "whole"
+    return "places" if [x.get("type") for x in steps] == ["ByteLevel"] and steps[0].get("use_regex", True) else "windows"
+
+
+class RepairingEncoder:
+    """Chunk reuse for any byte-level vocabulary: joins of chunks are repaired by re-encoding windows until the ids agree.
+
+    Each distinct chunk is encoded by itself once and kept. A text's ids are exact up to a place where a piece of the pre-tokenizer
+    starts; from there a window is encoded that reaches over the join. Where it starts a piece at a place where the next chunk's
+    own encoding does too, and both have the same ids there, they agree from that place on, as pieces are found from left to
+    right and depend on nothing before them. Until then the window grows, over whole chunks if need be. The last two pieces
+    before a cut, and what an added token might cover, may depend on what follows: they are never taken from a cut text.
+    """
+
+    def __init__(self, tok, lengths: np.ndarray, dtype: np.dtype, margin: int, entries: int = 100_000, bits: int = 8):
+        self.tok, self.lengths, self.dtype, self.margin, self.entries, self.bits = tok, lengths, dtype, margin, entries, bits
+        self.chunks: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.reused = self.encoded = self.windows = 0
+
+    def _scan(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, the place where each starts, and for each whether a piece starts there."""
+        e = self.tok.encode(data.decode("utf-8"), add_special_tokens=False)
+        ids = np.array(e.ids, dtype=np.int64)
+        ends = np.cumsum(self.lengths[ids])
+        if len(ids) and ends[-1] != len(data):
+            raise ValueError("tokens do not cover the text")
+        words = np.array([-1 if w is None else w for w in e.word_ids], dtype=np.int64)
+        fresh = np.ones(len(ids), dtype=bool)
+        fresh[1:] = (words[1:] != words[:-1]) | (words[1:] < 0)
+        return ids, ends - self.lengths[ids], fresh
+
+    def _trusted(self, scan: tuple[np.ndarray, np.ndarray, np.ndarray], length: int) -> int:
+        """The last start of a piece that does not depend on what follows the scanned text; 0 if there is none."""
+        starts = scan[1][scan[2]]
+        sure = starts[:-2][starts[:-2] <= length - self.margin] if len(starts) > 2 else starts[:0]
+        return int(sure[-1]) if len(sure) else 0
+
+    def encode(self, text: str) -> np.ndarray:
+        data = text.encode("utf-8")
+        n, done, first, out = len(data), 0, 0, []
+
+        def take(scan, origin: int, a: int, b: int) -> None:
+            """Tokens of a scan of data[origin:] that start in [a, b)."""
+            lo, hi = np.searchsorted(scan[1], [a - origin, b - origin])
+            out.append(scan[0][lo:hi])
+
+        for end in chunk_ends(data, bits=self.bits).tolist():
+            chunk, start, first = data[first:end], first, end
+            if chunk in self.chunks:
+                self.reused += 1
+            else:
+                self.encoded += 1
+                self.chunks[chunk] = self._scan(chunk)
+            own = self.chunks[chunk]
+            sure = n if end == n else start + self._trusted(own, len(chunk))
+            if done == start:  # in step with the chunk from its start on
+                if sure > start:
+                    take(own, start, start, sure)
+                    done = sure
+                continue
+            size = 64
+            while True:  # a window from the last sure place into the chunk
+                stop = min(end, start + size)
+                while stop < n and data[stop] & 0xC0 == 0x80:
+                    stop += 1
+                self.windows += 1
+                window = self._scan(data[done:stop])
+                limit = n if stop == n else done + self._trusted(window, stop - done)
+                place = self._agreement(window, done, own, start, limit)
+                if place is not None or stop >= end:
+                    break
+                size *= 2
+            if place is not None:
+                take(window, done, done, place)
+                done = place
+                if sure > done:
+                    take(own, start, done, sure)
+                    done = sure
+        if done < n:
+            out.append(self._scan(data[done:])[0])
+        for chunk in [c for c in self.chunks if len(c) > 4096] if len(self.chunks) > self.entries else []:
+            del self.chunks[chunk]
+        if len(self.chunks) > self.entries:
+            self.chunks.clear()
+        return np.concatenate([*out, np.empty(0, np.int64)]).astype(self.dtype)
+
+    @staticmethod
+    def _agreement(window, origin: int, own, start: int, limit: int) -> int | None:
+        """The first place after the chunk's start, before limit, where both start a piece, and the same piece."""
+        mine = window[1][window[2]] + origin
+        theirs = own[1][own[2]] + start
+        for place in np.intersect1d(mine, theirs, assume_unique=True).tolist():
+            if start < place < limit:
+                i, j = np.searchsorted(window[1], place - origin), np.searchsorted(own[1], place - start)
+                if window[0][i] == own[0][j]:
+                    return place
+        return None
+
+
 class ChunkEncoder:
     """Byte-level BPE with content-defined chunk reuse.
 
@@ -158,9 +269,12 @@ class ChunkEncoder:
     the first on the right; where a chunk has none, the window grows over it until one is found. Chunks and windows are
     encoded by the tokenizers library, piece by piece between agreed places, each distinct piece once. The caches are
     emptied when they hold `entries` chunks or `pieces` pieces; chunks over 4096 bytes and long pieces are not kept.
+
+    Agreed places are known for the plain byte-level pre-tokenizer alone. With any other byte-level vocabulary, joins are repaired
+    by RepairingEncoder; with a vocabulary that is not byte-level (`way` tells), whole texts are encoded by the library.
     """
 
-    def __init__(self, path: str, entries: int = 100_000, pieces: int = 600_000, bits: int = 9):
+    def __init__(self, path: str, entries: int = 100_000, pieces: int = 600_000, bits: int = 8, way: str | None = None):
         self.tok = load(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -174,6 +288,12 @@ class ChunkEncoder:
         self.word_starts = np.zeros(self.tok.get_vocab_size(), dtype=bool)
         self.word_starts[[i for token, i in self.tok.get_vocab().items() if token.startswith(self.space)]] = True
         self.entries, self.most, self.bits = entries, pieces, bits
+        added = self.tok.get_added_tokens_decoder().values()
+        self.way = way or way_of(path, added)
+        if self.way == "windows":
+            lengths = np.array([len(x) for x in ByteDecoder(path).table], dtype=np.int64)
+            margin = max([8, *(len(t.content.encode()) for t in added)])
+            self.repairing = RepairingEncoder(self.tok, lengths, self.dtype, margin, entries, bits)
         self.chunks: dict[bytes, tuple[bytes, list[bytes] | bytes, bytes] | None] = {}
         self.known: dict[bytes, bytes] = {}
         self.reused = self.encoded = 0
@@ -202,6 +322,10 @@ class ChunkEncoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, exactly those of encode(text, add_special_tokens=False)."""
+        if self.way == "windows":
+            return [self.repairing.encode(t) for t in texts]
+        if self.way == "whole":
+            return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.chunks) > self.entries:
             self.chunks.clear()
         if len(self.known) > self.most:
@@ -282,7 +406,7 @@ class ByteDecoder:
         letters = {c: b for b, c in enumerate(byte_letters())}
         self.table = [b""] * tok.get_vocab_size()
         for token, i in tok.get_vocab().items():
-            self.table[i] = specials[i].encode() if i in specials else bytes(letters[c] for c in token)
+            self.table[i] = specials[i].encode() if i in specials else bytes(letters[c] for c in token) if letters.keys() >= set(token) else token.encode()
 
     def bytes_of(self, ids: list[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))

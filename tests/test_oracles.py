@@ -46,3 +46,14 @@ def test_matches_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_registered_classifiers(spark):
+    """All instances of all templates: letters of tokens tell more than sizes do; both tell far more than the tenth that chance does."""
+    found = {}
+    for name in ("classify_rf", "classify_nb", "classify_witnesses", "classify_with_prefixes"):
+        for r in entry.queries()[name](spark, SF).collect():
+            assert (r["n_train"], r["n_test"]) == (9607, 2500)
+            found[(r["model"], r["representation"])] = r["accuracy"]
+    assert found[("rf", "bare_sizes")] >= 0.45 and found[("nb", "bare_set")] >= 0.35
+    assert found[("rf", "profile")] >= 0.7 and found[("nb", "set")] >= 0.6 and found[("rf", "profile")] > found[("rf", "bare_sizes")]

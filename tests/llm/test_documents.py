@@ -471,8 +471,10 @@ def test_groups_of_the_tables_stay_whole(spark):
 
 
 @pytest.mark.parametrize("share", [0.1, 0.3])
-def test_large_groups(spark, share):
-    """A group below a shard's share stays whole, one beyond is split; sizes are near equal either way."""
+def test_large_groups(spark, monkeypatch, share):
+    """A group below a shard's share stays whole, one beyond is split; sizes are near equal either way, and slots gapless over cells."""
+    monkeypatch.setattr(sharding, "CELL_ROWS", 7)
+    monkeypatch.setattr(sharding, "MOST_CELLS", 40 if share > 0.2 else 100_000)
     r = random.Random(22)
     texts = [" ".join(words_of(r, 30)) for _ in range(900)]
     n = sum(len(t) + 1 for t in texts)

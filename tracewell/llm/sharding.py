@@ -9,7 +9,6 @@ bins, and the list of leaves.
 from __future__ import annotations
 
 import heapq
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import stage
 
 BINS = 64
-#: Slots are numbered within cells of about so many bytes; the rows before each cell are broadcast up to MOST_CELLS cells.
-CELL_BYTES, MOST_CELLS = 64 << 20, 200_000
+#: Slots are numbered within cells of about so many rows at least; there are about MOST_CELLS cells at most, whose counts are broadcast.
+CELL_ROWS, MOST_CELLS = 1024, 100_000
 
 
 def _dimensions(units: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
@@ -141,12 +140,16 @@ def kd_shards(docs: DataFrame, shards: int = 8, leaves_per_shard: int = 16, text
     cells, leaves = kd_leaves(points, ["d_id", "d_size", "d_lang", "d_source", "d_key"], target)
     dealt = spark.createDataFrame(list(deal(leaves, shards).items()), "leaf long, shard int")
     placed = rows.select("doc_id", "size", "text_crc32", "text_key", "part").join(cells.select("text_key", "part", "leaf"), ["text_key", "part"]).join(F.broadcast(dealt), "leaf")
-    # slots: position within a cell of the shard, after the rows of the cells before it; a leaf has a cell for each CELL_BYTES
-    cells_per_leaf = max(1, math.ceil(target / CELL_BYTES))
-    placed = stage(placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(cells_per_leaf))).drop("part"), "kd-placed")
+    # slots: position within a cell of the shard, after the rows of the cells before it; a leaf has as many cells as its rows ask for
+    placed = stage(placed.drop("part"), "kd-placed")
+    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a leaf
+    cell_rows = max(CELL_ROWS, -(-sum(r["n"] for r in sizes) // MOST_CELLS))
+    cells = spark.createDataFrame([(r["leaf"], -(-r["n"] // cell_rows)) for r in sizes], "leaf long, cells long")
+    # equal rows are told apart by their place, so that many of them are dealt over cells too
+    cell = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text_key"), F.monotonically_increasing_id()), F.col("cells"))
+    placed = stage(placed.join(F.broadcast(cells), "leaf").withColumn("cell", cell).drop("cells"), "kd-cells")
     counts = placed.groupBy("shard", "leaf", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("leaf", "cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = placed.withColumn("k", F.row_number().over(Window.partitionBy("shard", "leaf", "cell").orderBy("doc_id", "text_key")))
-    few = cells_per_leaf * len(leaves) <= MOST_CELLS
-    out = inside.join(F.broadcast(before) if few else before, ["shard", "leaf", "cell"])
+    out = inside.join(F.broadcast(before), ["shard", "leaf", "cell"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("k") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

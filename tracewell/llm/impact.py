@@ -76,42 +76,52 @@ def wide_top(vectors: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int,
 
 
 class BlockIndex:
-    """Segments of one block: per dimension, members and their values by quantised value."""
+    """Segments of one block: per dimension, members and their values by quantised value.
+
+    A dimension's postings lie in the order of its segments, so the segments that a query reads of it between two looks at the
+    bounds are one run of them."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         self.norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
-        self.segments: list[list[tuple[int, int, np.ndarray, np.ndarray]]] = []  # per dimension (least, largest, members, values), by ascending value
-        for d in range(vectors.shape[1]):
-            column = vectors[:, d]
+        self.members, self.values, self.cuts = [], [], []  # per dimension: rows, their values, where its segments begin and end
+        for column in vectors.T:
             low, high = int(column.min()), int(column.max())
             width = max(1, -(-(high - low + 1) // LEVELS))
-            level = (column - low) // width
-            order = np.argsort(level, kind="stable")
-            parts = np.split(order, np.flatnonzero(np.diff(level[order], prepend=-1))[1:])
-            self.segments.append([(int(column[m].min()), int(column[m].max()), m, column[m]) for m in parts])
+            order = np.argsort(column, kind="stable")
+            held = column[order]
+            self.members.append(order)
+            self.values.append(held)
+            self.cuts.append([*np.flatnonzero(np.diff((held - low) // width, prepend=-1)).tolist(), len(held)])
+        # per segment, of all dimensions one after another: dimension, least and largest value
+        self.dimension = np.repeat(np.arange(len(self.cuts)), np.array([len(c) - 1 for c in self.cuts], dtype=np.int64))
+        ends = [(held[c[:-1]], held[np.array(c[1:]) - 1]) for held, c in zip(self.values, self.cuts)]
+        self.least, self.largest = (np.concatenate([np.empty(0, np.int64), *(e[side] for e in ends)]) for side in (0, 1))
+        self.room = np.empty(len(vectors), dtype=np.int64)
         self.read = self.all = 0  # segments, over all queries
 
-    def _ordered(self, query: np.ndarray) -> tuple[list[tuple[int, int, int, np.ndarray, np.ndarray]], list[int], int]:
-        """The query's segments as (shifted largest impact, factor, least, members, values) by descending impact; the largest impact of
-        each dimension, ascending; the shift."""
-        found, starts, shift = [], [], 0
-        for d in np.flatnonzero(query).tolist():
-            q, segments = int(query[d]), self.segments[d]
-            least = q * (segments[0][0] if q > 0 else segments[-1][1])
-            shift += least
-            impacts = [(q * (b if q > 0 else a) - least, q, least, m, v) for a, b, m, v in segments]
-            starts.append(max(x[0] for x in impacts))
-            found += impacts
-        found.sort(key=lambda x: -x[0])
-        return found, sorted(starts), shift
-
-    def top(self, query: np.ndarray, k: int, skip: int | None = None, floor: int | None = None, slack: int = 64, check_every: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    def _add(self, known: np.ndarray, query: list[int], base: list[int], taken: np.ndarray, after: np.ndarray) -> None:
+        """Adds what the segments from number `taken` to number `after` of each dimension, by descending impact, give to their members."""
+        for d in np.flatnonzero(after > taken).tolist():
+            q, cuts = query[d], self.cuts[d]
+            a, b = (cuts[-1 - after[d]], cuts[-1 - taken[d]]) if q > 0 else (cuts[taken[d]], cuts[after[d]])
+            given = self.room[: b - a]
+            np.multiply(self.values[d][a:b], q, out=given)
+            given += base[d]
+            np.add.at(known, self.members[d][a:b], given)
+
+    def top(self, query: np.ndarray, k: int, skip: int | None = None, floor: int | None = None, slack: int = 64, check_every: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of all rows that can be among the k best of the block, `skip` left out; exact scores.
 
-        floor: a score that k other rows are known to reach; rows below it need not be found."""
+        floor: a score that k other rows are known to reach; rows below it need not be found. The bounds are looked at after so many
+        segments each time, a tenth of them by default."""
         n, most = len(self.vectors), k + (skip is not None)
-        segments, starts, shift = self._ordered(query)
+        factor = query[self.dimension]
+        bottom = np.array([q * int(v[0] if q > 0 else v[-1]) for q, v in zip(query.tolist(), self.values)], dtype=np.int64)
+        shift = int(bottom.sum())
+        impact = factor * np.where(factor > 0, self.largest, self.least) - bottom[self.dimension]
+        segments = np.flatnonzero(factor)
+        segments = segments[np.argsort(-impact[segments], kind="stable")]
         self.all += len(segments)
         rows = np.arange(n)
         can = np.ones(n, dtype=bool)
@@ -119,15 +129,19 @@ class BlockIndex:
             can = np.sqrt((query.astype(np.float64) ** 2).sum()) * self.norms * (1 + 1e-9) >= floor
             rows = np.flatnonzero(can)
         if len(rows) > most + slack:
-            start = np.array(starts, dtype=np.int64)
+            # the largest impact of each dimension
+            start = np.array([abs(q) * int(v[-1] - v[0]) for q, v in zip(query.tolist(), self.values) if q], dtype=np.int64)
             known = np.zeros(n, dtype=np.int64)  # contributions so far, shifted; above them the number of dimensions met, where it fits
             met = 1 << 48 if int(start.sum()) < 1 << 47 else 0
+            factors, base = query.tolist(), (met - bottom).tolist()
+            taken = np.zeros(len(self.cuts), dtype=np.int64)
             best = None if floor is None else floor - shift
-            for i, (_, q, least, m, v) in enumerate(segments, 1):
-                np.add.at(known, m, v * q + (met - least))
-                if i % check_every and i < len(segments):
-                    continue
-                following = segments[i][0] if i < len(segments) else 0
+            step, i = check_every or max(1, -(-len(segments) // 10)), 0
+            while i < len(segments):
+                after = taken + np.bincount(self.dimension[segments[i : i + step]], minlength=len(taken))
+                self._add(known, factors, base, taken, after)
+                taken, i = after, min(i + step, len(segments))
+                following = int(impact[segments[i]]) if i < len(segments) else 0
                 rest = int(np.minimum(start, following).sum())
                 sums = known & (met - 1) if met else known
                 high = sums + rest - following * (known >> 48) if met else sums + rest
@@ -139,9 +153,9 @@ class BlockIndex:
                     best = reached if best is None else max(best, reached)
                 if best is not None:
                     can &= high >= best
-                if i == len(segments) or can.sum() <= most + slack:
-                    self.read += i
+                if can.sum() <= most + slack:
                     break
+            self.read += i
             rows = np.flatnonzero(can)
         if skip is not None:
             rows = rows[rows != skip]

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from tests.llm.conftest import ODD
 from tracewell.llm import arrowfiles, packing
 from tracewell.llm.bpe import bpe_decode, bpe_encode
-from tracewell.llm.tokens import AGREED, ByteDecoder, ChunkEncoder, WordEncoder, byte_letters, chunk_ends, public_path
+from tracewell.llm.tokens import AGREED, ByteDecoder, ChunkEncoder, WordEncoder, byte_letters, chunk_ends, cut_texts, is_even, public_path
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 PIECES = ["a", "B", "é", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "1", "23", "\u3000", "\xa0", "\x1c", "日本", "Σ", "İ", "<|endoftext|>", "<|startoftext|>", "e\u0301", "😀", "\r\n", "-", "$$$", "\u200b", "\x85", "ﬁ", "the ", " word,", " Word. ", "ª", "ß"]
@@ -97,6 +97,29 @@ def test_chunks_are_shared():
         assert all(data[s:e].decode() is not None for s, e in zip([0, *ends], ends))
 
 
+def test_texts_are_cut_alike_together_and_alone():
+    """Cuts do not depend on the texts before and after, nor on the blocks that the hash is computed in."""
+    texts = [t.encode() for t in [*some_texts(120, 8), "", "a", "日本語" * 60, "", "x" * 16, "\N{GRINNING FACE}" * 40, ""]]
+    for bits, block in ((1, 7), (3, 64), (5, 1 << 20)):
+        data, cut = cut_texts(texts, bits=bits, block=block)
+        assert data == b"".join(texts) and len(cut) == len(texts)
+        before = 0
+        for text, ends in zip(texts, cut):
+            assert [e - before for e in ends] == chunk_ends(text, bits=bits).tolist()
+            before += len(text)
+    assert cut_texts([]) == (b"", []) and cut_texts([b"", b""]) == (b"", [[], []])
+
+
+def test_even_chunks():
+    """Every space and line feed of an even chunk is an agreed place wherever the chunk stands; windows at joins are read right."""
+    r = random.Random(9)
+    for _ in range(4000):
+        chunk = "".join(r.choice(["a", " ", "\n", "é", "日", "\t", ".", "7", "\u00a0", "ß"]) if r.random() < 0.5 else "w" for _ in range(r.randint(1, 9))).encode()
+        places = [m.start() + 1 for m in AGREED.finditer(b"a" + chunk + b" ")]
+        marks = [i + 1 for i, c in enumerate(chunk) if c in b" \n"]
+        assert is_even(chunk) == (chunk[:1] != b"\n" and chunk[-1:] != b" " and [p - 1 for p in places] == marks) or chunk[:1] == b"\n"
+
+
 def test_bpe_query(spark, odd, none, libraries):
     rows = bpe_encode(odd).collect()
     tok = libraries[BYTES]

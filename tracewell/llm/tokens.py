@@ -117,28 +117,44 @@ class WordEncoder:
         return out
 
 
-def chunk_ends(data: bytes, window: int = 16, bits: int = 7) -> np.ndarray:
-    """Content-defined cuts: ends of the chunks of data, where a rolling hash of the last `window` bytes has `bits` zero bits.
+def cut_texts(texts: list[bytes], window: int = 16, bits: int = 7, block: int = 1 << 20) -> tuple[bytes, list[list[int]]]:
+    """Content-defined cuts: all texts one after another, and per text the ends of its chunks there, where a rolling hash of the last
+    `window` bytes has `bits` zero bits.
 
     Cuts move to the next start of a UTF-8 character. Equal stretches of text are cut alike wherever they stand, once
-    a window of equal bytes has passed. The last end is len(data).
+    a window of equal bytes has passed. The last end of a text is where it ends; an empty one has none.
     """
+    data = b"".join(texts)
     raw = np.frombuffer(data, dtype=np.uint8)
-    n = len(raw)
-    if n <= window:
-        return np.array([n] if n else [], dtype=np.int64)
-    mixed = _BYTE_CODES[raw]
-    total = mixed[window - 1 :].copy()
-    factor = np.uint32(1)
-    for k in range(1, window):  # polynomial in an odd base, modulo 2**32
-        factor = np.uint32((int(factor) * 0x01000193) & 0xFFFFFFFF)
-        total += mixed[window - 1 - k : n - k] * factor
-    cuts = np.flatnonzero((total >> np.uint32(32 - bits)) == 0) + window
-    cuts = cuts[cuts < n]
-    while len(cuts) and (inside := (raw[np.minimum(cuts, n - 1)] & 0xC0) == 0x80).any():
+    found = [np.empty(0, np.int64)]
+    for first in range(0, len(raw) - window, block):  # the block's ends are first + window and the following ones
+        mixed = _BYTE_CODES[raw[first : first + block + window - 1]]
+        n = len(mixed) - window + 1
+        total = mixed[window - 1 :].copy()
+        factor = np.uint32(1)
+        for k in range(1, window):  # polynomial in an odd base, modulo 2**32
+            factor = np.uint32((int(factor) * 0x01000193) & 0xFFFFFFFF)
+            total += mixed[window - 1 - k : window - 1 - k + n] * factor
+        found.append(np.flatnonzero((total >> np.uint32(32 - bits)) == 0) + first + window)
+    cuts = np.concatenate(found)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    of = np.searchsorted(ends, cuts, side="right")  # the text that a cut lies in
+    cuts, of = cuts[of < len(ends)], of[of < len(ends)]
+    whole = cuts - starts[of] >= window  # no window reaches over the start of a text
+    cuts, of = cuts[whole], of[whole]
+    while (inside := (raw[np.minimum(cuts, len(raw) - 1)] & 0xC0) == 0x80).any():
         cuts = cuts + inside
-        cuts = cuts[cuts < n]
-    return np.unique(np.append(cuts, n))
+        cuts, of = cuts[cuts < ends[of]], of[cuts < ends[of]]
+    cuts = np.unique(np.concatenate([cuts, ends[ends > starts]]))
+    bounds = np.searchsorted(cuts, np.stack([starts, ends]), side="right").tolist() if len(ends) else [[], []]
+    listed = cuts.tolist()
+    return data, [listed[a:b] for a, b in zip(*bounds)]
+
+
+def chunk_ends(data: bytes, window: int = 16, bits: int = 7) -> np.ndarray:
+    """The ends of one text's chunks."""
+    return np.array(cut_texts([data], window, bits)[1][0], dtype=np.int64)
 
 
 _BYTE_CODES = np.random.default_rng(11).integers(1, 1 << 32, 256, dtype=np.uint32)
@@ -146,8 +162,16 @@ _BYTE_CODES = np.random.default_rng(11).integers(1, 1 << 32, 256, dtype=np.uint3
 #: Places where the plain byte-level pre-tokenizer (the one with a pattern of its own) always starts a new piece, whatever stands before or after: a space before
 #: a character that is no white space, and a line feed after a printing ASCII character.
 AGREED = re.compile(rb" (?=[!-~\xc3-\xdf\xe4-\xf4])|(?<=[!-~])\n")
-#: Found in chunks where not every space and line feed is an agreed place.
-UNEVEN = re.compile(rb" [^!-~\xc3-\xdf\xe4-\xf4]|[^!-~]\n|^\n| \Z")
+#: Classes of bytes as letters: a space, a line feed, printing ASCII (a), lead bytes that an agreed space may stand before (L), others (x).
+CLASSES = bytes(c if c in b" \n" else 97 if 33 <= c <= 126 else 76 if 0xC3 <= c <= 0xDF or 0xE4 <= c <= 0xF4 else 120 for c in range(256))
+
+
+def is_even(chunk: bytes) -> bool:
+    """Whether every space and line feed of a chunk is an agreed place, whatever stands before or after the chunk."""
+    kinds = chunk.translate(CLASSES)
+    if kinds[:1] == b"\n" or kinds[-1:] == b" " or b"  " in kinds or b" x" in kinds:
+        return False
+    return b"\n" not in kinds or not (b" \n" in kinds or b"\n\n" in kinds or b"x\n" in kinds or b"L\n" in kinds)
 
 
 def way_of(path: str, added) -> str:
@@ -294,7 +318,7 @@ class ChunkEncoder:
             lengths = np.array([len(x) for x in ByteDecoder(path).table], dtype=np.int64)
             margin = max([8, *(len(t.content.encode()) for t in added)])
             self.repairing = RepairingEncoder(self.tok, lengths, self.dtype, margin, entries, bits)
-        self.chunks: dict[bytes, tuple[bytes, list[bytes] | bytes, bytes] | None] = {}
+        self.chunks: dict[bytes, tuple[bytes, list[bytes] | bytes, bytes, bool] | None] = {}
         self.known: dict[bytes, bytes] = {}
         self.reused = self.encoded = 0
 
@@ -312,13 +336,19 @@ class ChunkEncoder:
         cuts = [m.start() for m in AGREED.finditer(data)]
         return [self._key(data[a:b]) for a, b in zip([0, *cuts], [*cuts, len(data)]) if a < b]
 
-    def _split(self, chunk: bytes) -> tuple[bytes, list[bytes], bytes] | None:
-        """(head, keys of the pieces between agreed places, tail); None where the chunk has no agreed place."""
-        if UNEVEN.search(chunk):
+    def _split(self, chunk: bytes) -> tuple[bytes, list[bytes], bytes, bool] | None:
+        """(head, keys of the pieces between agreed places, tail, whether all is even); None where the chunk has no agreed place."""
+        if not is_even(chunk):
             cuts = [m.start() for m in AGREED.finditer(chunk)]
-            return (chunk[: cuts[0]], [self._key(chunk[a:b]) for a, b in zip(cuts, cuts[1:])], chunk[cuts[-1] :]) if cuts else None
+            return (chunk[: cuts[0]], [self._key(chunk[a:b]) for a, b in zip(cuts, cuts[1:])], chunk[cuts[-1] :], False) if cuts else None
         parts = chunk.replace(b"\n", b" \n").split(b" ")
-        return (parts[0], parts[1:-1], parts[-1] if parts[-1][0] == 10 else b" " + parts[-1]) if len(parts) > 1 else None
+        return (parts[0], parts[1:-1], parts[-1] if parts[-1][0] == 10 else b" " + parts[-1], True) if len(parts) > 1 else None
+
+    def _window(self, tail: bytes, head: bytes, even: bool) -> list[bytes]:
+        """Keys of the window at a join. The tail and head of even chunks have no agreed place but the one that the tail starts with."""
+        if not even:
+            return self._keys(tail + head)
+        return [tail + head] if tail[0] == 10 else [tail[1:] + head]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, exactly those of encode(text, add_special_tokens=False)."""
@@ -331,9 +361,10 @@ class ChunkEncoder:
         if len(self.known) > self.most:
             self.known.clear()
         chunks, plans, fresh, need = self.chunks, [], [], set()
-        for text in texts:
-            data, plan, window, start = text.encode("utf-8"), [], b"", 0
-            for end in chunk_ends(data, bits=self.bits).tolist():
+        start, (data, cut) = 0, cut_texts([t.encode("utf-8") for t in texts], bits=self.bits)
+        for ends in cut:
+            plan, window, even = [], b"", False
+            for end in ends:
                 chunk = data[start:end]
                 start = end
                 if chunk in chunks:
@@ -346,19 +377,19 @@ class ChunkEncoder:
                         fresh.append(chunk)
                         need.update(parts[1])
                 if parts is None:  # no agreement inside this chunk: the window grows
-                    window += chunk
+                    window, even = window + chunk, False
                 else:
-                    need.update(keys := self._keys(window + parts[0]))
+                    need.update(keys := self._window(window, parts[0], even and parts[3]))
                     plan.append((keys, chunk))
-                    window = parts[2]
-            need.update(keys := self._keys(window))
+                    window, even = parts[2:]
+            need.update(keys := self._window(window, b"", even))
             plan.append((keys, None))
             plans.append(plan)
         missing = self._learn(need)
         known, out = self.known, []
         for chunk in fresh:
-            head, inner, tail = chunks[chunk]
-            chunks[chunk] = (head, b"".join(map(known.__getitem__, inner)), tail)
+            head, inner, tail, even = chunks[chunk]
+            chunks[chunk] = (head, b"".join(map(known.__getitem__, inner)), tail, even)
         for plan in plans:
             got = []
             for keys, chunk in plan:

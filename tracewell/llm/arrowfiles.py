@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm.common import in_id_order, map_batches, new_path, resident, running_base, stage, text_slices
 from tracewell.llm.tokens import WordEncoder, public_path
 
-def word_encoder(vocabulary: str) -> WordEncoder:
-    """One encoder per Python worker: its cache lasts over tasks."""
-    return resident(("words", vocabulary), lambda: WordEncoder(public_path(vocabulary)))
+def word_encoder(vocabulary: str, cache: int = 192 << 20) -> WordEncoder:
+    """One encoder per Python worker: its cache of about so many bytes lasts over tasks."""
+    return resident(("words", vocabulary, cache), lambda: WordEncoder(public_path(vocabulary), cache))
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewell.sources.staging import application_dir, stage
 
-__all__ = ["bounded_rows", "crc_mod", "hashed_below", "in_id_order", "map_batches", "new_path", "resident", "running_base", "stage", "table", "text_slices", "unused", "utf8_parts"]
+__all__ = ["bounded_rows", "crc_mod", "give_back", "hashed_below", "in_id_order", "map_batches", "new_path", "resident", "running_base", "stage", "table", "text_slices", "unused", "utf8_parts"]
 
 _resident: dict = {}
 
@@ -24,10 +26,20 @@ def resident(key, make=lambda: None):
     Spark uses a worker for the tasks of many operators; their caches must not add up."""
     if key not in _resident:
         _resident.clear()
+        give_back()
         _resident[key] = make()
     return _resident[key]
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: what an operator leaves behind must not add to what the next one takes."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, function, schema: str, most: str = "4m") -> DataFrame:
     """mapInArrow over record batches of about `most` bytes: by rows alone, long texts would make a batch of any size.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from sys import getsizeof
 
 import numpy as np
 
@@ -43,14 +44,16 @@ class WordEncoder:
     """Exact encodings by a tokenizer that drops white space, each distinct word encoded once per worker.
 
     No token of such a tokenizer spans white space, so a text's ids are those of its white-space separated words in
-    order. The cache is emptied when it holds `entries` words; words beyond 64 characters are not kept.
+    order. The cache takes about `most` bytes in two generations: words met since the last change of generation, and those of
+    the generation before, which stay if they are met again. Words beyond 64 characters are not kept.
     """
 
-    def __init__(self, path: str, entries: int = 900_000):
+    def __init__(self, path: str, most: int = 192 << 20):
         self.tok = load(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.entries = entries
+        self.most, self.used = most, 0
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # the same model behind a splitter at white space, for words that need no other step than their bytes' letters
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -92,28 +95,38 @@ class WordEncoder:
             return re.split("[ \\t\\n\\r\\x0b\\x0c\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+", text)
         return text.split()
 
+    def _size(self, words) -> int:
+        """About the bytes that words of the cache take: the word, its ids and their place in the table."""
+        return sum(map(getsizeof, words)) + sum(map(getsizeof, map(self.known.__getitem__, words))) + 100 * len(words)
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of the smallest unsigned type that holds the vocabulary."""
         lists = [self.words(t) if t else [] for t in texts]
-        if len(self.known) > self.entries:
-            self.known.clear()
-        known, new = self.known, set()
+        if self.used > self.most // 2:
+            self.older, self.known, self.used = self.known, {}, 0
+        known, older, new = self.known, self.older, set()
         for ws in lists:
             new.update(ws)
         new = new.difference(known)  # looks each of the new up, where an update would walk all that is known
         new.discard("")
         known[""] = b""
         tails: dict[str, tuple[str, str]] = {}
-        for w in new:
+        for w in new.difference(older):
             if w.endswith((",", ".")) and w[-2:-1].isalpha() and w[-2] < "\u0100":  # a letter and a mark never share a token
                 tails[w] = (w[:-1], w[-1])
-        missing = list((new.difference(tails) | {part for pair in tails.values() for part in pair}).difference(known))
-        known.update(self._encode(missing))
+        needed = (new.difference(tails) | {part for pair in tails.values() for part in pair}).difference(known)
+        missing = needed.difference(older)
+        again = needed.difference(missing)
+        known.update(zip(again, map(older.__getitem__, again)))
+        known.update(self._encode(list(missing)))
         for w, (stem, mark) in tails.items():
             known[w] = known[stem] + known[mark]
         out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), dtype=self.dtype) for ws in lists]
         for w in [w for w in (*missing, *tails) if len(w) > 64]:
             known.pop(w, None)
+            missing.discard(w)
+            tails.pop(w, None)
+        self.used += self._size(missing) + self._size(again) + self._size(tails)
         return out
 
 

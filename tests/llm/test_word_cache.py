@@ -53,3 +53,14 @@ def test_small_caches_give_the_same_ids():
 def test_packing_is_the_same_with_a_small_cache(spark, odd):
     whole, small = (sorted(map(tuple, packing.pack(odd, cache=cache).collect()), key=repr) for cache in (192 << 20, 0))
     assert whole == small and len(whole) > len(np.unique([x[0] or 0 for x in whole]))
+
+
+def test_marks_at_the_ends_of_words_are_encoded_apart():
+    texts = ["end$$$ end%%% a...!? <|endoftext|>$$ <|endoftext|>a. 1$ é## it's. 's, x'. \u65e5. ..., a$b$ e\u0301.", "$$$ . ,"]
+    want = [e.ids for e in Tokenizer.from_file(public_path(WORDS)).encode_batch(texts, add_special_tokens=False)]
+    encoder = WordEncoder(public_path(WORDS))
+    assert [x.tolist() for x in encoder.encode_batch(texts)] == want
+    made, encode = [], encoder._encode
+    encoder._encode = lambda words: made.extend(words) or encode(words)
+    encoder.encode_batch(["end### another$$$"])
+    assert sorted(made) == ["###", "another"]  # the others are known

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 from sys import getsizeof
 
 import numpy as np
@@ -40,6 +41,10 @@ def is_latin(text: str) -> bool:
     return True
 
 
+#: Marks that are taken off the ends of words and encoded by themselves: none of them shares a token with a letter or ends an added token.
+MARKS = ",.!?;:$%&#*"
+
+
 class WordEncoder:
     """Exact encodings by a tokenizer that drops white space, each distinct word encoded once per worker.
 
@@ -95,10 +100,6 @@ class WordEncoder:
             return re.split("[ \\t\\n\\r\\x0b\\x0c\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+", text)
         return text.split()
 
-    def _size(self, words) -> int:
-        """About the bytes that words of the cache take: the word, its ids and their place in the table."""
-        return sum(map(getsizeof, words)) + sum(map(getsizeof, map(self.known.__getitem__, words))) + 100 * len(words)
-
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of the smallest unsigned type that holds the vocabulary."""
         lists = [self.words(t) if t else [] for t in texts]
@@ -112,8 +113,10 @@ class WordEncoder:
         known[""] = b""
         tails: dict[str, tuple[str, str]] = {}
         for w in new.difference(older):
-            if w.endswith((",", ".")) and w[-2:-1].isalpha() and w[-2] < "\u0100":  # a letter and a mark never share a token
-                tails[w] = (w[:-1], w[-1])
+            if w[-1] in MARKS:
+                stem = w.rstrip(MARKS)
+                if stem[-1:].isalpha() and stem[-1] < "\u0100":  # a letter and a mark never share a token
+                    tails[w] = (stem, w[len(stem) :])
         needed = (new.difference(tails) | {part for pair in tails.values() for part in pair}).difference(known)
         missing = needed.difference(older)
         again = needed.difference(missing)
@@ -126,7 +129,8 @@ class WordEncoder:
             known.pop(w, None)
             missing.discard(w)
             tails.pop(w, None)
-        self.used += self._size(missing) + self._size(again) + self._size(tails)
+        # about the bytes of the word, of its ids and of its place in the table
+        self.used += sum(map(getsizeof, chain(missing, again, tails))) + 150 * (len(missing) + len(again) + len(tails))
         return out
 
 

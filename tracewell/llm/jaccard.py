@@ -220,6 +220,8 @@ def _heavy_links(docs: DataFrame, heavy: DataFrame, k: int, percent: int) -> Dat
     meets = tiles.select("family", "key", "size", "tiles", F.col("tiles").alias("others"), F.lit(0).alias("step"))
     for step in (-1, 1):
         meets = meets.union(tiles.join(tiles.select("family", "key", (F.col("size") - step).alias("size"), F.col("tiles").alias("others")), ["family", "key", "size"]).select("family", "key", "size", "tiles", "others", F.lit(step)))
+    # staged, their size is known: they are broadcast, or a class of many members is split; planned together, each class would be one task's
+    meets = stage(meets, "meets")
     sets = stage(_whole_sets(docs, members.select("id").distinct(), k), "heavy-sets")
     own, other, step = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"), F.col("other"), F.col("step")
     rows = members.join(meets, ["family", "key", "size"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))

@@ -45,3 +45,10 @@ def test_batch_84_equals_the_sorted_whole(spark, many, limit):
     for instance in (1, 3):
         assert sorted(((r["customer_id"], r["prov"]) for r in rows if r["instance"] == instance), key=lambda t: (t[0] is None, t[0] or "", t[1])) == whole(many, limit)
     assert not [r for r in rows if r["instance"] == 2]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 90])
+def test_template_84_equals_the_sorted_whole(many, limit):
+    rows = T.ReturningCustomers("Union", 1000, limit=limit).run(many)
+    assert [(r["customer_id"], r["prov"]) for r in rows.collect()] == whole(many, limit)
+    assert "__leading" in rows._jdf.queryExecution().analyzed().toString()
